@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash
+from . import lines, minhash, suffix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup)}
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.drop_repeated_passages(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup)}
 
 SQL = {
     "op3_line_dedup": """

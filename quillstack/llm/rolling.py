@@ -66,6 +66,14 @@ class Prefix:
         raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(np.uint64) * _LENGTH[self.which])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Hash of each substring of this width."""
+        n = len(self.sums) - width
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        raw = (self.sums[width:] - self.sums[:n]) * self.inverse[:n]
+        return mix(raw + U(width * int(_LENGTH[self.which]) % 2**64))
+
 
 @dataclass
 class Chunk:
