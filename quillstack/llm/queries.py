@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash, suffix
+from . import lines, minhash, packing, pieces, suffix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup)}
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op8_sentencepiece)}
 
 SQL = {
     "op3_line_dedup": """
