@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash, packing, pieces, suffix
+from . import lines, minhash, packing, pieces, suffix, topk, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op8_sentencepiece)}
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc)}
 
 SQL = {
     "op3_line_dedup": """
@@ -55,5 +63,33 @@ with line as (
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
        sha256(coalesce(string_agg(body, chr(10) order by place) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op7_exact_topk": """
+with vectors as (
+    select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(1024.0 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, c.uid,
+           list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+    from vectors q join vectors c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
+)
+select query_id, r::int as rank, vec_id, score from ranked where r <= 10
+""",
+    "op9_warc": """
+with full_pages as (
+    select page_id, coalesce(html, '') as body from pages
+), digested as (
+    select page_id, strlen(body)::bigint as payload_bytes, sha256(body) as payload_digest from full_pages
+), firsts as (
+    select payload_digest, min(page_id) as first_id from digested where payload_bytes >= 100 group by payload_digest
+)
+select d.page_id, d.payload_bytes, d.payload_digest,
+       case when f.first_id <> d.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first_id <> d.page_id then f.first_id end as refers_to
+from digested d left join firsts f on d.payload_digest = f.payload_digest
 """,
 }
