@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash, packing, pieces, suffix, topk, warc
+from . import lines, minhash, packing, pieces, suffix, topk, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc)}
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup)}
 
 SQL = {
     "op3_line_dedup": """
@@ -91,5 +95,24 @@ select d.page_id, d.payload_bytes, d.payload_digest,
        case when f.first_id <> d.page_id then 'revisit' else 'response' end as record_type,
        case when f.first_id <> d.page_id then f.first_id end as refers_to
 from digested d left join firsts f on d.payload_digest = f.payload_digest
+""",
+    "op10_vector_near_dedup": """
+with recursive fine as (
+    select vec_id, embedding::double[] as v from embeddings
+    where embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link as materialized (
+    select a.vec_id as u, b.vec_id as v from fine a join fine b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(u, v) as (
+    select vec_id, vec_id from embeddings union select reach.u, link.v from reach join link on reach.v = link.u
+), component as (
+    select u, min(v) as component_id from reach group by u
+), degree as (
+    select u, count(*) as n from link group by u
+)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join component c on c.u = e.vec_id left join degree d on d.u = e.vec_id
 """,
 }
