@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash, packing, pieces, suffix, topk, vectors, warc
+from . import lines, minhash, packing, pieces, quality, suffix, topk, toxicity, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,7 +56,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_suffix_dedup, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity_crf, op3_line_dedup, op4_suffix_dedup, op5_quality_network, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup)}
 
 SQL = {
     "op3_line_dedup": """
