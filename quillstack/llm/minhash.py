@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .components import components
+from .components import components, forest
 from .rolling import Chunk, chunks, mix, words_of
 from .sketches import SCHEMA, add_up, emit, gather
 from .store import Scratch
@@ -27,6 +27,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 4
 BUCKETS = 1 << 16
+DAMPING = 0.25
+#: Buckets of up to SMALL members are compared pair by pair; in larger ones PIVOTS members meet all that are still apart.
+SMALL = PIVOTS = 8
+LEFT_ROWS, RIGHT_ROWS = 256, 512
 NO_ID = -(2**63)
 DOC_BITS = U(52)
 LOW = U((1 << 52) - 1)
@@ -82,7 +86,10 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Weight of each hashed shingle: 1 + ln((1 + N) / (1 + df)) / ln(BUCKETS), over all documents."""
+    """Weight of each hashed shingle: 1 + DAMPING * ln((1 + N) / (1 + df)) / ln(BUCKETS), over all documents.
+
+    Damped, so that what a large group of near copies shares isn't outweighed by what each has alone.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, np.int64), np.zeros(1, np.int64)
@@ -93,7 +100,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
         yield from emit({"df": df, "n": n})
 
     got = gather(texts.mapInArrow(task, SCHEMA), texts.rdd.getNumPartitions(), {"df": (np.dtype(np.int64), (BUCKETS,)), "n": (np.dtype(np.int64), (1,))}, add_up("int64"))
-    return np.maximum(1.0, 1 + np.log((1 + got["n"][0]) / (1 + got["df"])) / np.log(BUCKETS))
+    return np.maximum(1.0, 1 + DAMPING * np.log((1 + got["n"][0]) / (1 + got["df"])) / np.log(BUCKETS))
 
 
 def signatures(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +172,42 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_links(left: pa.Array, right: pa.Array, idf: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of every pair of a left and a right text whose similarity is at least `similar`.
+
+    A shingle that occurs k times is k elements, so that the shared weight is a matrix product.
+    """
+
+    def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, name, weight = [], [], []
+        for c in chunks(column):
+            key, tf, _ = shingles(c)
+            step = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+            row.append(np.repeat((key >> DOC_BITS).astype(np.int64) + c.lo, tf))
+            own = np.repeat(key & LOW, tf)
+            name.append(mix(own + step.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+            weight.append(idf[(own & U(BUCKETS - 1)).astype(np.int64)])
+        return np.concatenate(row), np.concatenate(name), np.concatenate(weight)
+
+    (i, a, wa), (j, b, wb) = elements(left), elements(right)
+    n, m = len(left), len(right)
+    top = np.bincount(i, wa, n)[:, None] + np.bincount(j, wb, m)[None, :]
+    shared = np.intersect1d(a, b)
+    low = np.zeros((n, m))
+    at, bt = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    ok_a = shared[np.minimum(at, len(shared) - 1)] == a if len(shared) else np.zeros(len(a), bool)
+    ok_b = shared[np.minimum(bt, len(shared) - 1)] == b if len(shared) else np.zeros(len(b), bool)
+    i, at, wa, j, bt = i[ok_a], at[ok_a], wa[ok_a], j[ok_b], bt[ok_b]
+    by_a, by_b = np.argsort(at, kind="stable"), np.argsort(bt, kind="stable")
+    i, at, wa, j, bt = i[by_a], at[by_a], wa[by_a], j[by_b], bt[by_b]
+    for k in range(0, len(shared), 4096):
+        p, q = slice(*np.searchsorted(at, (k, k + 4096))), slice(*np.searchsorted(bt, (k, k + 4096)))
+        x, y = np.zeros((n, 4096)), np.zeros((m, 4096))
+        x[i[p], at[p] - k], y[j[q], bt[q] - k] = wa[p], 1
+        low += x @ y.T
+    return np.nonzero((low >= similar * (top - low) - 1e-12) & (low > 0))
+
+
 BROADCAST_IDS = 1_000_000
 
 
@@ -173,8 +216,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Copies of one text are one class member; texts link if their weighted Jaccard similarity is at
     least `similar`, and classes are the components of links. Buckets are resolved through pivots:
-    every member is compared with the bucket's smallest; where members stay in different components,
-    the next 7, 56, 448 ... smallest are compared too, until nothing in the bucket is unexamined.
+    every member is compared with the bucket's most central one, and where members stay in different
+    components, with a few more. Small buckets are then done; in larger ones each member outside the
+    largest component is compared with all others, in blocks that pass on a forest of their links.
 
     Null text: a class of its own. Empty text or text without words: links with exact copies only.
     Null doc_id: stays alone under a null class. Rows of equal doc_id: one document, one row.
@@ -202,9 +246,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     signed = scratch.keep(known.mapInArrow(sign, "id long, digest binary, bands array<long>"), "signed")
     exact = scratch.keep(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")), "exact")
-    band = exact.select("rep", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.keep(band.join(shared, "key"), "buckets")
+    band = scratch.keep(exact.select("rep", F.explode("bands").alias("key")), "band")
+    sizes = scratch.keep(band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    # a member that shares more, with more others, is the likelier centre of a group
+    weight = scratch.keep(band.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("w")), "weight")
+    buckets = scratch.keep(band.join(sizes, "key").join(weight, "rep"), "buckets")
+    pivot = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct(-F.col("w"), F.col("rep"))).alias("p")).select("key", F.col("p.rep").alias("pivot")), "pivot")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs(u, v)."""
@@ -229,24 +276,48 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def pairs_count(pairs: DataFrame) -> int:
         return counted.setdefault(id(pairs), pairs.count())
 
-    tried = scratch.keep(buckets.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
+    tried = scratch.keep(buckets.join(pivot, "key").where("rep <> pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "pairs")
     links = verified(tried)
-    lowest, reach = 2, 8
-    while True:
+
+    def apart(labels: DataFrame) -> DataFrame:
+        """Members of buckets of several components: key, rep, n, w, c, and whether c is not the bucket's largest."""
+        named = scratch.keep(buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "w", F.coalesce("component", "rep").alias("c")), "named")
+        parts = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("m")).where("parts > 1")
+        main = scratch.keep(parts.select("key", F.col("m.c").alias("main")), "main")
+        return named.join(main, "key").withColumn("stray", F.col("c") != F.col("main")).drop("main")
+
+    labels = scratch.keep(components(links, scratch), "labels")
+    left = scratch.keep(apart(labels), "open")
+    order = Window.partitionBy("key").orderBy(F.desc("w"), "rep")
+    ranked = left.withColumn("k", F.row_number().over(order)).where(f"k <= {PIVOTS}").where("k > 1").select("key", F.col("rep").alias("p"), F.col("c").alias("pc"))
+    pairs = scratch.keep(left.join(ranked, "key").where(f"c <> pc and (stray or n <= {SMALL})").select(F.greatest("rep", "p").alias("u"), F.least("rep", "p").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    if pairs_count(pairs):
+        links = links.unionByName(verified(pairs))
+        labels = scratch.keep(components(links, scratch), "labels")
+    # what is still apart in larger buckets meets every member, in blocks that send a forest of their links
+    left = scratch.keep(apart(labels).where(f"n > {SMALL}"), "open")
+    if left.limit(1).count():
+        need = left.select("rep").distinct()
+        own = known.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, F.col("id") == F.col("rep"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        with_text = left.join(own.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "c", "text", "stray")
+        shape = scratch.keep(left.groupBy("key").agg(F.ceil(F.sum(F.col("stray").cast("int")) / LEFT_ROWS).cast("int").alias("i"), F.ceil(F.count("*") / RIGHT_ROWS).cast("int").alias("j")), "shape")
+        dealt = scratch.keep(with_text.join(shape, "key"), "dealt")
+        strays = dealt.where("stray").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("i"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("j") - 1)).cast("long"))
+        others = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("j"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).cast("long"))
+
+        def block(x: pa.Table, y: pa.Table) -> pa.Table:
+            schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+            if not x.num_rows or not y.num_rows:
+                return schema.empty_table()
+            u, v = block_links(x.column("text").combine_chunks(), y.column("text").combine_chunks(), weights.value, similar)
+            u, v = x.column("rep").to_numpy()[u], y.column("rep").to_numpy()[v]
+            u, v = forest(u, v)
+            return pa.table([pa.array(u), pa.array(v)], schema=schema)
+
+        columns = ["key", "a", "b", "rep", "text"]
+        more = strays.select(*columns).groupBy("key", "a", "b").cogroup(others.select(*columns).groupBy("key", "a", "b")).applyInArrow(block, "u long, v long")
+        links = links.unionByName(scratch.keep(more.distinct(), "links"))
         labels = scratch.keep(components(links, scratch), "labels")
-        # buckets whose members are not yet one component
-        named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        open_keys = named.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where(f"a <> b and n >= {lowest}").select("key")
-        left = scratch.keep(named.join(open_keys, "key"), "open")
-        ranked = left.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(f"k <= {reach}").where(f"k >= {lowest}").select("key", F.col("rep").alias("p"), F.col("c").alias("pc"))
-        more = left.join(ranked, "key").where("c <> pc").select(F.greatest("rep", "p").alias("u"), F.least("rep", "p").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        pairs = scratch.keep(more, "pairs")
-        if not left.limit(1).count():
-            break
-        if pairs_count(pairs):
-            new = verified(pairs)
-            links, tried = links.unionByName(new), tried.unionByName(pairs)
-        lowest, reach = reach + 1, reach * 8
     member = signed.join(exact.select("digest", "rep", "copies"), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     # rows of one doc_id with several texts are one document
     own = member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("copies").alias("n_copies"))
