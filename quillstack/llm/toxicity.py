@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens of labelled documents get labels of their own: a token is toxic if its document is and its
-word occurs in toxic documents so much oftener that chance is ruled out over the whole vocabulary.
-The field has two states, a weight for each hashed word, and transitions; it is fitted by gradient
+word, or a stem of it, occurs in toxic documents so much oftener that chance is ruled out over the
+whole vocabulary. The field has two states, a weight for each hashed word and stem (the first 4, 5
+and 6 bytes of a word), and transitions; it is fitted by gradient
 on sentences. Forward-backward marginals give offending spans, and their sum and maximum over a
 document give its score through a logistic curve fitted on the same sample.
 """
@@ -17,20 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import SAMPLE_DOCS, labelled_ids, labelled_texts, remainder
-from .rolling import Chunk, chunks, words_of
+from .rolling import LOWER, Chunk, Prefix, chunks, mix, words_of
 from .store import workers_find_package
 
 BUCKETS = 1 << 18
+STEMS = (4, 5, 6)
+TRAITS = 1 + len(STEMS)
 LONGEST = 64
 SAMPLE_TOKENS = 12_000_000
 REJECT = 0.7
+#: Share of a word's documents that are toxic, at least, where its tokens are labelled so.
+PURE = 0.8
 BREAK = np.zeros(256, bool)
 BREAK[[10, 33, 46, 63]] = True
 
 
 @dataclass
 class Tokens:
-    """Hashed words of a chunk, their texts and bytes, and where sentences begin (and one past the last)."""
+    """Hashed words and stems (a column each) of a chunk, their texts and bytes, and where sentences begin (and one past the last)."""
 
     word: np.ndarray
     doc: np.ndarray
@@ -50,7 +55,9 @@ def tokens_of(chunk: Chunk) -> Tokens:
         first = np.flatnonzero(new)
         place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
         new |= place % LONGEST == 0
-    return Tokens((w.hash & np.uint64(BUCKETS - 1)).astype(np.int32), w.doc, w.start, w.end, np.append(np.flatnonzero(new), n))
+    hashes = Prefix(LOWER[chunk.data])
+    traits = [w.hash] + [mix(hashes.of(w.start, np.minimum(w.end, w.start + k)) + np.uint64(k)) for k in STEMS]
+    return Tokens((np.stack(traits, 1) & np.uint64(BUCKETS - 1)).astype(np.int32), w.doc, w.start, w.end, np.append(np.flatnonzero(new), n))
 
 
 @dataclass
@@ -67,7 +74,7 @@ class Field:
         size = np.diff(sentence)
         order = np.argsort(-size, kind="stable")
         begin, size = sentence[:-1][order], size[order]
-        odds = np.exp(np.clip(self.weight[word] + self.bias, -30, 30))
+        odds = np.exp(np.clip(self.weight[word].sum(1) + self.bias, -30, 30))
         move = np.exp(self.transition)
         out = np.empty(len(word))
         longest = int(size[0]) if len(size) else 0
@@ -120,8 +127,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def token_labels(word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Toxic tokens: in toxic documents, words bound to those beyond chance over all words of the sample."""
-    pair = np.unique(doc.astype(np.int64) * BUCKETS + word)
+    """Toxic tokens: in toxic documents, words or stems bound to those beyond chance over all of the sample's."""
+    pair = np.unique((doc.astype(np.int64)[:, None] * BUCKETS + word).ravel())
     d, w = pair // BUCKETS, pair % BUCKETS
     bad = np.bincount(w[y[d] == 1], minlength=BUCKETS).astype(float)
     all_ = np.bincount(w, minlength=BUCKETS).astype(float)
@@ -130,8 +137,8 @@ def token_labels(word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray
     with np.errstate(divide="ignore", invalid="ignore"):
         # likelihood ratio of the word's share of toxic documents against the share of all
         g = 2 * (np.where(bad > 0, bad * np.log(bad / (all_ * share)), 0) + np.where(good > 0, good * np.log(good / np.maximum(all_ * (1 - share), 1e-9)), 0))
-    toxic = (bad > all_ * max(0.5, share)) & (g > 2 * np.log(max(2, (all_ > 0).sum())))
-    return toxic[word] & (y[doc] == 1)
+    toxic = (bad >= all_ * PURE) & (g > 2 * np.log(max(2, (all_ > 0).sum())))
+    return toxic[word].any(1) & (y[doc] == 1)
 
 
 def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.3, ridge: float = 1e-3) -> Field:
@@ -142,8 +149,8 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray
         return field
     # all sentences with a word that is toxic somewhere, and as many tokens of others as make a sample
     listed = np.zeros(BUCKETS, bool)
-    listed[word[label]] = True
-    hot = np.logical_or.reduceat(listed[word], sentence[:-1])
+    listed[word[label, 0]] = True
+    hot = np.logical_or.reduceat(listed[word[:, 0]], sentence[:-1])
     pick = np.flatnonzero(hot | (np.random.default_rng(5).random(len(hot)) < min(1.0, 20_000 / len(hot))))
     size = np.diff(sentence)[pick]
     at = np.repeat(sentence[:-1][pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -151,6 +158,7 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray
     first = np.zeros(len(w), bool)
     first[s[:-1]] = True
     used, place = np.unique(w, return_inverse=True)
+    place = place.reshape(w.shape)
     seen = np.zeros((2, 2))
     inner = np.flatnonzero(~first)
     np.add.at(seen, (z[inner - 1].astype(int), z[inner].astype(int)), 1)
@@ -163,7 +171,7 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray
         # expected moves from neighbouring marginals, the chain's own to first order
         both = p[inner - 1], p[inner]
         expected = np.array([[((1 - both[0]) * (1 - both[1])).sum(), ((1 - both[0]) * both[1]).sum()], [(both[0] * (1 - both[1])).sum(), (both[0] * both[1]).sum()]])
-        grad = np.concatenate((np.bincount(place, diff, len(used)), [diff.sum()], (seen - expected).ravel() / 10)) - ridge * theta
+        grad = np.concatenate((np.bincount(place.ravel(), np.repeat(diff, TRAITS), len(used)), [diff.sum()], (seen - expected).ravel() / 10)) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -3, 3)
@@ -191,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most
     sample = labelled_texts(docs, labelled_ids(labels, "toxic", by, held_out, most)).mapInArrow(task, "id long, y int, words binary, heads binary")
     words, heads, y, total = [], [], [], 0
     for row in sample.toLocalIterator():
-        own = np.frombuffer(bytes(row.words), np.int32)
+        own = np.frombuffer(bytes(row.words), np.int32).reshape(-1, TRAITS)
         if total + len(own) > tokens:
             break
         words.append(own)
@@ -199,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most
         y.append(row.y)
         total += len(own)
     if not y:
-        return train(np.zeros(0, np.int32), np.zeros(0, int), np.zeros(1, int), np.zeros(0, int))
+        return train(np.zeros((0, TRAITS), np.int32), np.zeros(0, int), np.zeros(1, int), np.zeros(0, int))
     doc = np.repeat(np.arange(len(y)), [len(x) for x in words])
     return train(np.concatenate(words), doc, np.append(np.concatenate(heads), total), np.array(y))
 
