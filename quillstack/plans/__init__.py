@@ -1,0 +1,9 @@
+"""The query catalogue: every query by name, and its SQL."""
+
+from __future__ import annotations
+
+from . import lists
+
+_PARTS = [lists]
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.SQL.items()}
