@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lists
+from . import lists, texts
 
-_PARTS = [lists]
+_PARTS = [lists, texts]
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.SQL.items()}
