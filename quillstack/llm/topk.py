@@ -1,8 +1,8 @@
 """Exact top-k search by inner product, in the three phases of the uniform threshold.
 
 The components of all vectors are split between nodes; a node knows only its share of a score.
-First every node's best k partial scores for a query are gathered, and the k-th best sum of what is
-known gives a safe cutoff. A vector that can reach it has, at one node at least, the cutoff divided
+First the vectors that have one of the k best partial scores of a node and a task are gathered with
+their parts from all nodes, and the k-th best sum gives a safe cutoff. A vector that can reach it has, at one node at least, the cutoff divided
 by the number of nodes; second, nodes send every entry from there on. Third, vectors whose upper
 bound still reaches the k-th best sum are scored exactly. Partial scores are taken above the node's
 least, so that what is unknown is never negative.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .store import Scratch
 
 NODES, QUERY_BLOCK, ROW_BLOCK = 2, 4096, 4096
-LIST = "node int, query int, uid long, part long, low long"
+LIST = "node int, query int, uid long, total long, low long"
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -80,38 +80,37 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, nodes: int, width: int,
     shares = np.array_split(np.arange(width), nodes)
     held = spark.sparkContext.broadcast((ids, q))
 
-    def partial(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Node, rows' uids, partial scores (rows x queries), and which are a query's own."""
+    def partial(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Rows' uids, partial scores (rows x queries) of each node, and which are a query's own."""
         ids, q = held.value
         for lo in range(0, batch.num_rows, ROW_BLOCK):
             part = batch.slice(lo, ROW_BLOCK)
             x = _matrix(part.column(2), width)
-            uid, vec = part.column(0).to_numpy(), part.column(1).to_numpy()
-            same = vec[:, None] == ids[None, :]
-            for node, share in enumerate(shares):
-                yield node, uid, product(x[:, share], q[:, share]), same
+            yield part.column(0).to_numpy(), [product(x[:, share], q[:, share]) for share in shares], part.column(1).to_numpy()[:, None] == ids[None, :]
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(held.value[0]):
             return
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         least = np.iinfo(np.int64).min
         for batch in batches:
-            for node, uid, s, same in partial(batch):
-                low = s.min(0)
-                s = np.where(same, least, s)
-                at = np.argpartition(-s, min(k, len(s)) - 1, 0)[:k]
-                score, name = np.take_along_axis(s, at, 0), uid[at]
-                if node in best:
-                    score, name, low = np.concatenate((best[node][0], score)), np.concatenate((best[node][1], name)), np.minimum(best[node][2], low)
-                    at = np.argpartition(-score, min(k, len(score)) - 1, 0)[:k]
-                    score, name = np.take_along_axis(score, at, 0), np.take_along_axis(name, at, 0)
-                best[node] = score, name, low
-        for node, (score, name, low) in best.items():
+            for uid, parts, same in partial(batch):
+                total = sum(parts)
+                for node, part in enumerate(parts):
+                    low, s = part.min(0), np.where(same, least, part)
+                    at = np.argpartition(-s, min(k, len(s)) - 1, 0)[:k]
+                    own = [np.take_along_axis(s, at, 0), np.take_along_axis(total, at, 0), uid[at], low]
+                    if node in best:
+                        was = best[node]
+                        own = [*(np.concatenate(x) for x in zip(was[:3], own[:3], strict=True)), np.minimum(was[3], low)]
+                        at = np.argpartition(-own[0], min(k, len(own[0])) - 1, 0)[:k]
+                        own[:3] = [np.take_along_axis(x, at, 0) for x in own[:3]]
+                    best[node] = tuple(own)
+        for node, (score, total, name, low) in best.items():
             ok = score > least
             query = np.broadcast_to(np.arange(score.shape[1]), score.shape)
             # a node's least partial score travels with each entry; a task without entries has no say in it
-            yield pa.record_batch([pa.array(np.full(ok.sum(), node, np.int32)), pa.array(query[ok].astype(np.int32)), pa.array(name[ok]), pa.array(score[ok]), pa.array(np.broadcast_to(low, score.shape)[ok])], names=["node", "query", "uid", "part", "low"])
+            yield pa.record_batch([pa.array(np.full(ok.sum(), node, np.int32)), pa.array(query[ok].astype(np.int32)), pa.array(name[ok]), pa.array(total[ok]), pa.array(np.broadcast_to(low, score.shape)[ok])], names=["node", "query", "uid", "total", "low"])
 
     first = scratch.keep(rows.mapInArrow(lists, LIST), "lists")
     low = first.groupBy("node", "query").agg(F.min("low").alias("low")).collect()
@@ -119,9 +118,8 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, nodes: int, width: int,
     for r in low:
         floor[r.node, r.query] = r.low
 
-    def kth(entries: DataFrame) -> np.ndarray:
-        """The k-th best sum of known parts of each query, above the floors; 0 if fewer are known."""
-        sums = entries.groupBy("query", "uid").agg(F.sum("part").alias("s"))
+    def kth(sums: DataFrame) -> np.ndarray:
+        """The k-th best sum of each query, above the floors; 0 if fewer are known."""
         ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s")))).where(F.col("r") == k)
         out = np.zeros(len(own), np.int64)
         for r in ranked.collect():
@@ -129,20 +127,25 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, nodes: int, width: int,
         return out
 
     floors = spark.sparkContext.broadcast(floor)
-    table = spark.createDataFrame([(n, i, int(floor[n, i])) for n in range(nodes) for i in range(len(own))], "node int, query int, floor long")
-    cutoff = kth(first.join(F.broadcast(table), ["node", "query"]).select("query", "uid", (F.col("part") - F.col("floor")).alias("part"), "node").distinct())
+    exact_sums = kth(first.groupBy("query", "uid").agg(F.max("total").alias("s")))
+    full = first.groupBy("query").agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= k).collect()
+    cutoff = np.zeros(len(own), np.int64)
+    for r in full:
+        cutoff[r.query] = max(0, exact_sums[r.query] - floor[:, r.query].sum())
     threshold = spark.sparkContext.broadcast(cutoff)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, uid, s, same in partial(batch):
-                above = s - floors.value[node]
-                i, j = np.nonzero((above * nodes >= threshold.value) & ~same)
-                if len(i):
+            for uid, parts, same in partial(batch):
+                for node, s in enumerate(parts):
+                    above = s - floors.value[node]
+                    i, j = np.nonzero((above * nodes >= threshold.value) & ~same)
+                    if not len(i):
+                        continue
                     yield pa.record_batch([pa.array(np.full(len(i), node, np.int32)), pa.array(j.astype(np.int32)), pa.array(uid[i]), pa.array(above[i, j])], names=["node", "query", "uid", "part"])
 
     second = scratch.keep(rows.mapInArrow(entries, "node int, query int, uid long, part long"), "entries")
-    better = np.maximum(cutoff, kth(second))
+    better = np.maximum(cutoff, kth(second.groupBy("query", "uid").agg(F.sum("part").alias("s"))))
     bound = spark.createDataFrame([(i, int(better[i]), int(cutoff[i])) for i in range(len(own))], "query int, least long, cutoff long")
     # below the threshold a part is under cutoff / nodes, so that is what an unknown one can add
     known = second.groupBy("query", "uid").agg(F.sum("part").alias("s"), F.count("*").alias("n"))
