@@ -21,11 +21,11 @@ from .labelled import SAMPLE_DOCS, labelled_ids, labelled_texts, remainder
 from .rolling import LOWER, Chunk, Prefix, chunks, mix, words_of
 from .store import workers_find_package
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 STEMS = (4, 5, 6)
 TRAITS = 1 + len(STEMS)
 LONGEST = 64
-SAMPLE_TOKENS = 12_000_000
+SAMPLE_TOKENS = 4_000_000
 REJECT = 0.7
 #: Share of a word's documents that are toxic, at least, where its tokens are labelled so.
 PURE = 0.8
@@ -71,6 +71,11 @@ class Field:
 
     def marginals(self, word: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """Probability of the toxic state of each token, given its sentence."""
+        return self.expectations(word, sentence)[0]
+
+    def expectations(self, word: np.ndarray, sentence: np.ndarray, moves: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and if asked the expected number of moves from each state to each."""
+        expected = np.zeros((2, 2))
         size = np.diff(sentence)
         order = np.argsort(-size, kind="stable")
         begin, size = sentence[:-1][order], size[order]
@@ -98,10 +103,14 @@ class Field:
             p0, p1 = ahead[0, at] * b0[:k], ahead[1, at] * b1[:k]
             out[at] = p1 / (p0 + p1)
             o = odds[at] * b1[:k]
+            if moves and t:
+                f0, f1 = ahead[0, at - 1], ahead[1, at - 1]
+                x = np.stack((f0 * move[0, 0] * b0[:k], f0 * move[0, 1] * o, f1 * move[1, 0] * b0[:k], f1 * move[1, 1] * o))
+                expected += (x / x.sum(0)).sum(1).reshape(2, 2)
             n0, n1 = move[0, 0] * b0[:k] + move[0, 1] * o, move[1, 0] * b0[:k] + move[1, 1] * o
             total = n0 + n1
             b0[:k], b1[:k] = n0 / total, n1 / total
-        return out
+        return out, expected
 
     def scores(self, marginal: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
         x = document_features(marginal, doc, texts)
@@ -112,7 +121,7 @@ def document_features(marginal: np.ndarray, doc: np.ndarray, texts: int) -> np.n
     total = np.bincount(doc, marginal, texts)
     top = np.zeros(texts)
     np.maximum.at(top, doc, marginal)
-    return np.stack((np.ones(texts), np.log1p(total), top, np.minimum(total, 1)), 1)
+    return np.stack((np.ones(texts), np.log1p(total), top), 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -126,35 +135,76 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def token_labels(word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Toxic tokens: in toxic documents, words or stems bound to those beyond chance over all of the sample's."""
-    pair = np.unique((doc.astype(np.int64)[:, None] * BUCKETS + word).ravel())
-    d, w = pair // BUCKETS, pair % BUCKETS
-    bad = np.bincount(w[y[d] == 1], minlength=BUCKETS).astype(float)
-    all_ = np.bincount(w, minlength=BUCKETS).astype(float)
-    share = max(y.mean(), 1e-9)
-    good = all_ - bad
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # likelihood ratio of the word's share of toxic documents against the share of all
-        g = 2 * (np.where(bad > 0, bad * np.log(bad / (all_ * share)), 0) + np.where(good > 0, good * np.log(good / np.maximum(all_ * (1 - share), 1e-9)), 0))
-    toxic = (bad >= all_ * PURE) & (g > 2 * np.log(max(2, (all_ > 0).sum())))
-    return toxic[word].any(1) & (y[doc] == 1)
-
-
-def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.3, ridge: float = 1e-3) -> Field:
-    """Fit the field on labelled sentences, and the curve on documents."""
-    label = token_labels(word, doc, y) if len(word) else np.zeros(0, bool)
-    field = Field(np.zeros(BUCKETS), -2.0, np.zeros((2, 2)), np.array([-20.0, 0, 0, 0]))
-    if not len(y) or not label.any():
+@dataclass
+class Sample:
+    """Labelled documents: traits of their words, where their sentences begin, and whether each is toxic."""
+
+    words: list[np.ndarray]
+    heads: list[np.ndarray]
+    y: np.ndarray
+
+    def ends(self, k: int) -> np.ndarray:
+        return np.append(self.heads[k], len(self.words[k]))
+
+
+def toxic_traits(sample: Sample) -> np.ndarray:
+    """Words and stems bound to toxic documents beyond chance over all of the sample's.
+
+    A trait counts once for each pair of words that it stands between, so that copies of a text,
+    whole or with changes elsewhere, are one witness.
+    """
+    bad, all_ = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    share = [0, 0]
+    for y in (0, 1):
+        own = [w for w, toxic in zip(sample.words, sample.y, strict=True) if toxic == y and len(w)]
+        if not own:
+            continue
+        place = np.concatenate([mix(np.concatenate(([0], w[:-1, 0])).astype(np.uint64) * np.uint64(BUCKETS) + np.concatenate((w[1:, 0], [0])).astype(np.uint64)) for w in own])
+        for k in range(TRAITS):
+            trait = np.concatenate([w[:, k] for w in own])
+            _, at = np.unique(mix(place + trait.astype(np.uint64)), return_index=True)
+            n = np.bincount(trait[at], minlength=BUCKETS).astype(np.int32)
+            all_ += n
+            if y:
+                bad += n
+            share[y] += len(at)
+    prior = share[1] / max(1, sum(share))
+    at = np.flatnonzero(bad)
+    b, n, share = bad[at].astype(float), all_[at].astype(float), max(prior, 1e-9)
+    good = n - b
+    # likelihood ratio of the word's share of toxic documents against the share of all
+    g = 2 * (b * np.log(b / (n * share)) + good * np.log(np.maximum(good, 1e-9) / np.maximum(n * (1 - share), 1e-9)))
+    out = np.zeros(BUCKETS, bool)
+    out[at] = (b >= n * PURE) & (g > 2 * np.log(max(2, int((all_ > 0).sum()))))
+    return out
+
+
+def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e-2) -> Field:
+    """Fit the field on labelled sentences, and the curve on documents, one document after another."""
+    field = Field(np.zeros(BUCKETS, np.float32), -2.0, np.zeros((2, 2)), np.array([-20.0, 0, 0]))
+    if not len(sample.y) or not sample.y.any():
         return field
-    # all sentences with a word that is toxic somewhere, and as many tokens of others as make a sample
+    toxic = toxic_traits(sample)
     listed = np.zeros(BUCKETS, bool)
-    listed[word[label, 0]] = True
-    hot = np.logical_or.reduceat(listed[word[:, 0]], sentence[:-1])
-    pick = np.flatnonzero(hot | (np.random.default_rng(5).random(len(hot)) < min(1.0, 20_000 / len(hot))))
-    size = np.diff(sentence)[pick]
-    at = np.repeat(sentence[:-1][pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    w, s, z = word[at], np.append(0, np.cumsum(size)), label[at].astype(float)
+    for w, y in zip(sample.words, sample.y, strict=True):
+        if y:
+            listed[w[toxic[w].any(1), 0]] = True
+    if not listed.any():
+        return field
+    # all sentences with a word that is toxic somewhere, and as many of others as make a sample
+    total, rng = sum(map(len, sample.heads)), np.random.default_rng(5)
+    parts, labels, sizes = [], [], []
+    for k, (w, y) in enumerate(zip(sample.words, sample.y, strict=True)):
+        if not len(w):
+            continue
+        ends = sample.ends(k)
+        hot = np.logical_or.reduceat(listed[w[:, 0]], ends[:-1])
+        for i in np.flatnonzero(hot | (rng.random(len(hot)) < min(1.0, 20_000 / total))):
+            part = w[ends[i] : ends[i + 1]]
+            parts.append(part)
+            labels.append(toxic[part].any(1) & bool(y))
+            sizes.append(len(part))
+    w, z, s = np.concatenate(parts), np.concatenate(labels).astype(float), np.append(0, np.cumsum(sizes))
     first = np.zeros(len(w), bool)
     first[s[:-1]] = True
     used, place = np.unique(w, return_inverse=True)
@@ -166,24 +216,20 @@ def train(word: np.ndarray, doc: np.ndarray, sentence: np.ndarray, y: np.ndarray
     theta[-5] = -2.0
     for t in range(1, steps + 1):
         field.weight[used], field.bias, field.transition = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        p = field.marginals(w, s)
+        p, expected = field.expectations(w, s, moves=True)
         diff = z - p
-        # expected moves from neighbouring marginals, the chain's own to first order
-        both = p[inner - 1], p[inner]
-        expected = np.array([[((1 - both[0]) * (1 - both[1])).sum(), ((1 - both[0]) * both[1]).sum()], [(both[0] * (1 - both[1])).sum(), (both[0] * both[1]).sum()]])
-        grad = np.concatenate((np.bincount(place.ravel(), np.repeat(diff, TRAITS), len(used)), [diff.sum()], (seen - expected).ravel() / 10)) - ridge * theta
+        grad = np.concatenate((np.bincount(place.ravel(), np.repeat(diff, TRAITS), len(used)), [diff.sum()], (seen - expected).ravel())) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -3, 3)
     field.weight[used], field.bias, field.transition = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-    # words that the sample of sentences never had keep no weight of their own
-    marginal = field.marginals(word, sentence)
-    field.curve = _logistic(document_features(marginal, doc, len(y)), y.astype(float))
+    x = np.concatenate([document_features(field.marginals(own, sample.ends(k)), np.zeros(len(own), int), 1) for k, own in enumerate(sample.words)])
+    field.curve = _logistic(x, sample.y.astype(float))
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most: int = SAMPLE_DOCS, tokens: int = SAMPLE_TOKENS) -> Field:
-    """Fit on at most `most` labelled documents and about `tokens` tokens of them, outside the held-out remainder."""
+def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most: int = SAMPLE_DOCS // 2, tokens: int = SAMPLE_TOKENS) -> Field:
+    """Fit on at most `most` labelled documents and at most `tokens` tokens of them, outside the held-out remainder."""
     workers_find_package(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most
         if total + len(own) > tokens:
             break
         words.append(own)
-        heads.append(np.frombuffer(bytes(row.heads), np.int32) + total)
+        heads.append(np.frombuffer(bytes(row.heads), np.int32))
         y.append(row.y)
         total += len(own)
-    if not y:
-        return train(np.zeros((0, TRAITS), np.int32), np.zeros(0, int), np.zeros(1, int), np.zeros(0, int))
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in words])
-    return train(np.concatenate(words), doc, np.append(np.concatenate(heads), total), np.array(y))
+    return train(Sample(words, heads, np.array(y, int)))
 
 
 def score(docs: DataFrame, field: Field, reject: float = REJECT) -> DataFrame:
