@@ -302,8 +302,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         with_text = left.join(own.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "c", "text", "stray")
         shape = scratch.keep(left.groupBy("key").agg(F.ceil(F.sum(F.col("stray").cast("int")) / LEFT_ROWS).cast("int").alias("i"), F.ceil(F.count("*") / RIGHT_ROWS).cast("int").alias("j")), "shape")
         dealt = scratch.keep(with_text.join(shape, "key"), "dealt")
-        strays = dealt.where("stray").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("i"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("j") - 1)).cast("long"))
-        others = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("j"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).cast("long"))
+        strays = dealt.where("stray").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("i"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j").cast("long") - 1)))
+        others = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("j"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i").cast("long") - 1)))
 
         def block(x: pa.Table, y: pa.Table) -> pa.Table:
             schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
