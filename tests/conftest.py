@@ -6,6 +6,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,11 +39,13 @@ def plain(frame):
     """Rows of a pandas frame as sorted tuples of texts, columns by name."""
 
     def cell(x):
-        if x is None or x != x:
-            return "null"
         if hasattr(x, "tolist"):
             x = x.tolist()
-        return f"{x:.6g}" if isinstance(x, float) else str(x)
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
+            return "null"
+        if isinstance(x, float):
+            return str(int(x)) if x.is_integer() else f"{x:.6g}"
+        return str(x)
 
     own = frame[sorted(frame.columns)]
     return sorted(tuple(cell(x) for x in row) for row in own.itertuples(index=False, name=None))
