@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import shared_folder
+
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, ancestor, depth): every ancestor of every node at its least depth.
@@ -77,13 +79,13 @@ def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b")
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c"))
-    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-    labels = cut(labels)
+    shared_folder(pairs.sparkSession)
+    labels = labels.checkpoint()
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         low = labels.join(near, "u").select("u", F.least("c", "m").alias("c"))
         jumped = low.join(low.select(F.col("u").alias("c"), F.col("c").alias("top")), "c", "left").select("u", F.least("c", "top").alias("c"))
-        after = cut(jumped)
+        after = jumped.checkpoint()
         moved = after.join(labels.withColumnRenamed("c", "was"), "u").where("c <> was").limit(1).count()
         labels = after
         if not moved:

@@ -18,3 +18,14 @@ def session(name: str = "quillstack", **settings: str) -> SparkSession:
     for key, value in own.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one is set only where none is named, as in tests."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    own = sc._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        sc.setCheckpointDir(named or "file:///tmp/checkpoints")
+        own = sc._jsc.sc().getCheckpointDir()
+    return (named or own.get()).rstrip("/")

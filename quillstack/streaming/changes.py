@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder
+
 
 def change_log(spark: SparkSession, path: str) -> DataFrame:
     """Events as a file stream; the schema is that of the files there, read once from a footer."""
@@ -39,8 +41,7 @@ def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFra
 
     Offsets and state lie there too, so that a later run goes on from where this one ended.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{root.rstrip('/')}/changes-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
 
     def kept(state: DataFrame, _: int) -> None:
         state.write.mode("overwrite").parquet(f"{root}/state")
