@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .rolling import LOWER, Chunk, Prefix, chunks
+from .rolling import LOWER, Chunk, Prefix, chunks, slices
 from .sketches import SeenTwice, seen_twice
 from .store import Scratch
 
@@ -119,7 +119,7 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 3, least_points: int
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_lines long, n_dropped long"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             hashes, keys = batch.column(len(names)), batch.column(len(names) + 1)
             has = np.asarray(hashes.is_valid())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components, forest
-from .rolling import Chunk, chunks, mix, words_of
+from .rolling import Chunk, chunks, mix, slices, words_of
 from .sketches import SCHEMA, add_up, emit, gather
 from .store import Scratch
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         own = scratch.keep(known.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 s = similarity(batch.column(2), batch.column(3), weights.value)
                 keep = np.flatnonzero(s >= similar)
                 yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(s[keep])], names=["u", "v", "s"])

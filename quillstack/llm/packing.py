@@ -25,7 +25,7 @@ from .bpe import LONGEST, PairTable
 from .store import workers_find_package
 
 CAPACITY, LEAST, CLOSING = 2048, 64, 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = re.compile("[\x1c-\x1f]")
 

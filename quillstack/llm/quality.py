@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import SAMPLE_DOCS, labelled_ids, labelled_texts, remainder
-from .rolling import Chunk, chunks, words_of
+from .rolling import Chunk, chunks, slices, words_of
 from .sketches import SCHEMA, add_up, emit, gather
 from .store import workers_find_package
 
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Quality, accept: float = ACCEPT) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in slices(batches):
             s = np.zeros(batch.num_rows)
             for c in chunks(batch.column(place)):
                 s[c.lo : c.hi] = own.net.scores(pooled(c, own.words, own.shapes))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 CHUNK_ROWS = 4000
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2)]
@@ -90,6 +90,13 @@ class Chunk:
         return self.hi - self.lo
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of a batch stays small beside it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets (one more than texts) and null marks; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .rolling import Chunk, Prefix, chunks, mix
+from .rolling import Chunk, Prefix, chunks, mix, slices
 from .sketches import SeenTwice, seen_twice
 from .store import Scratch
 
@@ -215,7 +215,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_bytes long, n_removed long, n_spans long, kept binary"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             starts, counts = batch.column(len(names)), batch.column(len(names) + 1)
             has = np.asarray(starts.is_valid())
             kept, removed, spans = np.empty(batch.num_rows, object), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)

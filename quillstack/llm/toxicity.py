@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import SAMPLE_DOCS, labelled_ids, labelled_texts, remainder
-from .rolling import LOWER, Chunk, Prefix, chunks, mix, words_of
+from .rolling import LOWER, Chunk, Prefix, chunks, mix, slices, words_of
 from .store import workers_find_package
 
 BUCKETS = 1 << 22
@@ -270,7 +270,7 @@ def score(docs: DataFrame, field: Field, reject: float = REJECT) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in slices(batches):
             s = np.zeros(batch.num_rows)
             spans: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]
             for c in chunks(batch.column(place)):
