@@ -125,7 +125,11 @@ def resolved(units: DataFrame, scratch: Scratch, filter_bits: int) -> tuple[Data
         h = _row_key(*(np.asarray(batch.column(k)) for k in range(3)))
         yield {"pool": np.concatenate((h, h))}
 
-    return whole, scratch.spark.sparkContext.broadcast(seen_twice(scratch.keep(pool, "pool"), members, {"pool": filter_bits})["pool"].twice)
+    found = scratch.spark.sparkContext.broadcast(seen_twice(scratch.keep(pool, "pool"), members, {"pool": filter_bits})["pool"].twice)
+    whole = scratch.keep(whole, "whole")
+    scratch.drop(entries)
+    scratch.drop(units)
+    return whole, found
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
