@@ -135,15 +135,26 @@ def topological(works: Iterable[int], pairs: Iterable[tuple[int, int]]) -> list[
 
 
 def series_order(places: DataFrame) -> DataFrame:
-    """(series, work, place) from (series, site, work, number): sites that number more works speak first."""
+    """(series, work, place) from (series, site, work, number): sites that number more works speak first.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        sites = group.groupby("site").agg(n=("work", "nunique"), volume=("number", "sum")).sort_values(["n", "volume"], ascending=False)
+    A series comes as one row of lists, so that many small ones go through Python in batches.
+    """
+
+    def order(lines: Iterable) -> list[int]:
+        by: dict[int, list[tuple[int, int]]] = {}
+        for x in lines:
+            if x["site"] is not None:
+                by.setdefault(x["site"], []).append((x["number"], x["work"]))
         pairs: list[tuple[int, int]] = []
-        for site in sites.index:
-            line = group[group.site == site].sort_values(["number", "work"]).work.tolist()
+        for _, _, site in sorted((-len({w for _, w in own}), -sum(n for n, _ in own), site) for site, own in by.items()):
+            line = [w for _, w in sorted(by[site])]
             pairs += list(zip(line, line[1:], strict=False))
-        works = topological(sorted(set(group.work)), pairs)
-        return pd.DataFrame({"series": group.series.iloc[0], "work": works, "place": range(1, len(works) + 1)})
+        return topological(sorted({x["work"] for x in lines}), pairs)
+
+    def task(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            works = [order(x) for x in b["lines"]]
+            yield pd.DataFrame({"series": b["series"].repeat([len(w) for w in works]), "work": [x for w in works for x in w], "place": [k for w in works for k in range(1, len(w) + 1)]})
 
-    return places.groupBy("series").applyInPandas(one, "series long, work long, place long")
+    lines = places.groupBy("series").agg(F.collect_list(F.struct("site", "work", "number")).alias("lines"))
+    return lines.mapInPandas(task, "series long, work long, place long")
