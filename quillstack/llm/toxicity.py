@@ -10,7 +10,7 @@ document give its score through a logistic curve fitted on the same sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -228,9 +228,29 @@ def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e
     return field
 
 
+def within(counts: Iterable[tuple[int, int]], tokens: int) -> set[int]:
+    """Ids whose documents are taken in the order given while their tokens fit in `tokens`; one that doesn't fit is passed over."""
+    out, total = set(), 0
+    for i, n in counts:
+        if total + n <= tokens:
+            out.add(i)
+            total += n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most: int = SAMPLE_DOCS // 2, tokens: int = SAMPLE_TOKENS) -> Field:
-    """Fit on at most `most` labelled documents and at most `tokens` tokens of them, outside the held-out remainder."""
-    workers_find_package(docs.sparkSession)
+    """Fit on at most `most` labelled documents and at most `tokens` tokens of them, outside the held-out remainder.
+
+    Tokens are counted first, and documents taken in order of the ids' hash, so that the order of the table doesn't matter.
+    """
+    spark = docs.sparkSession
+    workers_find_package(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(2)):
+                n = np.bincount(tokens_of(c).doc, minlength=len(c))
+                yield pa.record_batch([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), pa.array(n, pa.int64())], names=["id", "y", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,16 +262,15 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most
                 heads = [(x.sentence[a:b] - e).astype(np.int32).tobytes() for a, b, e in zip(cut[:-1], cut[1:], edge[:-1], strict=True)]
                 yield pa.record_batch([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), pa.array(words, pa.binary()), pa.array(heads, pa.binary())], names=["id", "y", "words", "heads"])
 
-    sample = labelled_texts(docs, labelled_ids(labels, "toxic", by, held_out, most)).mapInArrow(task, "id long, y int, words binary, heads binary")
-    words, heads, y, total = [], [], [], 0
-    for row in sample.toLocalIterator():
-        own = np.frombuffer(bytes(row.words), np.int32).reshape(-1, TRAITS)
-        if total + len(own) > tokens:
-            break
-        words.append(own)
+    counted = labelled_texts(docs, labelled_ids(labels, "toxic", by, held_out, most)).mapInArrow(count, "id long, y int, n long").groupBy("id", "y").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.md5(F.col("id").cast("string")), "id").collect()
+    fitting = within(((r.id, r.n) for r in rows), tokens)
+    taken = spark.createDataFrame([(r.id, r.y) for r in rows if r.id in fitting], "id long, y int")
+    words, heads, y = [], [], []
+    for row in labelled_texts(docs, taken).mapInArrow(task, "id long, y int, words binary, heads binary").toLocalIterator():
+        words.append(np.frombuffer(bytes(row.words), np.int32).reshape(-1, TRAITS))
         heads.append(np.frombuffer(bytes(row.heads), np.int32))
         y.append(row.y)
-        total += len(own)
     return train(Sample(words, heads, np.array(y, int)))
 
 

@@ -124,6 +124,17 @@ def test_toxic_documents_and_spans(spark):
         assert {w for s in r.spans for w in r.text[s.start : s.end].split()} & {"vile", "nasty", "rotten"}
 
 
+def test_toxic_sample_does_not_follow_the_table(spark):
+    """A document over the bound leads the table, and toxic ones stand at its end."""
+    docs, labels = toxic_corpus(spark)
+    longest = spark.createDataFrame([(k, "plain1 " * 20_000) for k in (1000, 1001, 1002)], "doc_id long, text string")
+    clean = spark.createDataFrame([(k, 0, 0) for k in (1000, 1001, 1002)], "doc_id long, toxic int, quality int")
+    table = longest.coalesce(1).unionByName(docs.join(labels, "doc_id").orderBy("toxic", "doc_id").select("doc_id", "text").coalesce(1))
+    field = toxicity.fit(table, labels.unionByName(clean), tokens=12_000)
+    got = toxicity.score(docs, field).join(labels, "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.98
+
+
 def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(toxicity.BUCKETS, np.float32), -0.3, rng.normal(size=(2, 2)), np.zeros(3))
