@@ -167,18 +167,19 @@ def tree_scores(x: np.ndarray, trees: list[dict]) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, firth: bool = False) -> np.ndarray:
-    """Newton steps on a logistic loss; the first column is a constant without penalty. firth: bias-reduced."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, firth: bool = False, count: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps on a logistic loss; the first column is a constant without penalty. firth: bias-reduced. count: how often each row stands."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[0] = 0
+    n = np.ones(len(x)) if count is None else count.astype(float)
     for _ in range(50):
         p = sigmoid(x @ w)
         v = p * (1 - p)
-        h = (x * v[:, None]).T @ x + np.diag(penalty + 1e-9)
+        h = (x * (n * v)[:, None]).T @ x + np.diag(penalty + 1e-9)
         target = y - p
         if firth:
             target = target + np.einsum("ij,jk,ik->i", x, np.linalg.inv(h), x) * v * (0.5 - p)
-        step = np.linalg.solve(h, x.T @ target - penalty * w)
+        step = np.linalg.solve(h, x.T @ (n * target) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break

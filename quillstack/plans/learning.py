@@ -93,8 +93,7 @@ def value_shifts(spark: SparkSession, d: str) -> DataFrame:
     binned = own.groupBy("source", F.round("z", 1).alias("z"), "y").agg(F.count("*").alias("n"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        part = group.loc[group.index.repeat(group.n.clip(upper=200))]
-        w = models.fit_logistic(np.stack((np.ones(len(part)), part.z.to_numpy()), 1), part.y.to_numpy(), ridge=1e-3, firth=True)
+        w = models.fit_logistic(np.stack((np.ones(len(group)), group.z.to_numpy()), 1), group.y.to_numpy(), ridge=1e-3, firth=True, count=group.n.to_numpy())
         return pd.DataFrame({"source": [group.source.iloc[0]], "shift": [w[0]], "slope": [w[1]]})
 
     return binned.groupBy("source").applyInPandas(fit, "source string, shift double, slope double")

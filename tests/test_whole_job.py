@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 
 from quillstack import plans
+from quillstack.operators import models
 
 
 def test_series_of_all_keys_are_ordered(spark, tmp_path):
@@ -12,3 +14,21 @@ def test_series_of_all_keys_are_ordered(spark, tmp_path):
     lines.to_parquet(tmp_path / "lineitem.parquet")
     got = plans.QUERIES["series_topological"](spark, str(tmp_path)).toPandas().sort_values(["series", "place"])
     assert {s: g.work.tolist() for s, g in got.groupby("series")} == dict.fromkeys((1, 1999, 2000, 70_000), [9, 4, 7])
+
+
+def test_shifts_count_every_row_of_a_bin(spark, tmp_path):
+    """Two bins, at chances of 1/2 and 2/3, with more rows than 200 of one answer."""
+    bins = [(2, 0, 500), (2, 1, 50), (3, 0, 300), (3, 1, 250)]
+    parts, lines = [], []
+    for size, yes, n in bins:
+        for _ in range(n):
+            key = 3 * (len(parts) + 1)
+            parts.append((key, "red ring", "Brand#1", "SMALL", 10, 100.0))
+            lines += [(key, key, k, float(4 if yes else 0), pd.Timestamp("2000-01-01"), 1000.0, "R" if k == 1 else "N") for k in range(1, size + 1)]
+    pd.DataFrame(parts, columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame(lines, columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate", "l_extendedprice", "l_returnflag"]).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    got = plans.QUERIES["value_shifts"](spark, str(tmp_path)).toPandas()
+    z = np.repeat([0.0 if size == 2 else 0.7 for size, _, _ in bins], [n for _, _, n in bins])
+    y = np.repeat([float(yes) for _, yes, _ in bins], [n for _, _, n in bins])
+    want = models.fit_logistic(np.stack((np.ones(len(z)), z), 1), y, ridge=1e-3, firth=True)
+    assert np.allclose(got[["shift", "slope"]].to_numpy(), [want], atol=1e-8)
