@@ -202,16 +202,31 @@ def on_simplex(y: np.ndarray, total: float = 1.0) -> np.ndarray:
     return np.maximum(y - over[k], 0)
 
 
-def principal(x: np.ndarray, count: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Directions of most variance by orthogonal iteration, and the spread along each."""
-    centred = x - x.mean(0)
-    cov = centred.T @ centred / len(x)
-    q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(x.shape[1], count)))
-    for _ in range(rounds):
-        q, _ = np.linalg.qr(cov @ q)
-    order = np.argsort(-np.einsum("ij,ik,kj->j", q, cov, q))
-    q = q[:, order]
-    return q, np.sqrt(np.einsum("ij,ik,kj->j", q, cov, q))
+def moments(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the vectors of all rows; a task sums its own, the sums are added by place."""
+    mean = df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("k").toPandas().x.to_numpy()
+    d = len(mean)
+
+    def task(batches):  # noqa: ANN001, ANN202
+        cov, n = np.zeros((d, d)), 0
+        for b in batches:
+            if len(b):
+                x = np.stack(b[column].to_numpy()).astype(float) - mean
+                cov += x.T @ x
+                n += len(b)
+        if n:
+            yield pd.DataFrame({"k": range(d * d + 1), "x": [*cov.ravel(), n]})
+
+    sums = df.select(column).mapInPandas(task, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").toPandas().x.to_numpy()
+    return mean, (sums[:-1] / sums[-1]).reshape(d, d) if len(sums) else np.zeros((d, d))
+
+
+def principal(cov: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of most variance, each with its greatest part positive, and the spread along each."""
+    value, q = np.linalg.eigh(cov)
+    value, q = value[::-1][:count], q[:, ::-1][:, :count]
+    q = q * np.sign(q[np.abs(q).argmax(0), np.arange(q.shape[1])])
+    return q, np.sqrt(np.maximum(value, 0))
 
 
 def ridge_solve(a: np.ndarray, b: np.ndarray, penalty: float, steps: int = 200) -> np.ndarray:
@@ -244,6 +259,23 @@ def least_absolute(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray
     return w
 
 
+def least_absolute_of_all(df: DataFrame, features: str, size: int, y: str, rounds: int = 50) -> np.ndarray:
+    """least_absolute() over all rows: each round reads only sums of weighted products. df should be kept."""
+    x = [F.col(features)[k] for k in range(size)]
+    total = df.agg(F.sum(y), F.sum(sum(x[1:], x[0]))).first()
+    w = np.full(size, max(1e-6, float(total[0] or 0) / max(1e-9, float(total[1] or 0))))
+    for _ in range(rounds):
+        rest = F.col(y)
+        for k in range(size):
+            rest = rest - x[k] * float(w[k])
+        v = 1 / F.greatest(F.abs(rest), F.lit(1e-6))
+        sums = df.withColumn("__v", v).agg(*(F.sum(F.col("__v") * a * b) for a in x for b in [*x, F.col(y)])).first()
+        g = np.array([t or 0.0 for t in sums], float).reshape(size, size + 1)
+        for j in range(size):
+            w[j] = max(0.0, (g[j, -1] - g[j, :-1] @ w + g[j, j] * w[j]) / max(1e-12, g[j, j]))
+    return w
+
+
 def scored(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray], np.ndarray], out: str = "score") -> DataFrame:
     """key and score of every row; the model travels in the closure, rows in Arrow batches."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as nm, text as tx
 from ..operators import graph, listing, models
+from ..session import shared_folder
 from ..sources.catalogue import Catalogue
 from .lists import EDGES, ITEMS, RATINGS, ROWS, rows
 
@@ -223,7 +224,9 @@ def bilinear_suggestions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def words_per_character(spark: SparkSession, d: str) -> DataFrame:
     """Words by classes of characters: non-negative weights of least absolute error, then applied to all."""
-    own = Catalogue(spark, d).documents().select("doc_id", tx.word_count(F.col("text")).alias("n"), F.array(*(c.cast("double") for c in tx.class_counts(F.col("text")).values())).alias("x"))
-    sample = models.bounded(own, "doc_id", 1000)
-    weight = models.least_absolute(np.stack(sample.x.to_numpy()).astype(float), sample.n.to_numpy().astype(float), 20)
+    classes = tx.class_counts(F.col("text"))
+    own = Catalogue(spark, d).documents().select("doc_id", tx.word_count(F.col("text")).alias("n"), F.array(*(c.cast("double") for c in classes.values())).alias("x"))
+    shared_folder(spark)
+    own = own.checkpoint()
+    weight = models.least_absolute_of_all(own, "x", len(classes), "n", 20)
     return models.scored(own, "doc_id", "x", lambda v: v @ weight, "words")

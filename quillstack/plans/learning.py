@@ -13,6 +13,9 @@ from .lists import ITEMS, ROWS, rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Judged rows, and steps, of the fit of a list's weights; vectors, triples drawn from them, and steps, of the fit of the query shift.
+WEIGHT_ROWS, WEIGHT_STEPS = 300, 2000
+SHIFT_ROWS, SHIFT_TRIPLES, SHIFT_STEPS = 300, 600, 300
 NAMES = ["red widget", "small ring", "ring", "blue"]
 
 
@@ -102,11 +105,11 @@ def value_shifts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def search_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights of a list's features that order judged rows best, on the simplex."""
-    sample = models.bounded(_features(spark, d).where("grade is not null"), "item_id", 300)
+    sample = models.bounded(_features(spark, d).where("grade is not null"), "item_id", WEIGHT_ROWS)
     x, g, line = np.stack(sample.x.to_numpy()).astype(float)[:, 1:], sample.grade.to_numpy(), (sample.work % 10).to_numpy()
     b, o = np.nonzero((g[:, None] > g[None, :]) & (line[:, None] == line[None, :]))
     w = np.full(x.shape[1], 1 / x.shape[1])
-    for t in range(300):
+    for t in range(WEIGHT_STEPS):
         z = (x[b] - x[o]) @ w
         w = models.on_simplex(w + 0.5 / np.sqrt(t + 1) * ((x[b] - x[o]) * models.sigmoid(-z)[:, None]).mean(0)) if len(b) else w
     return spark.createDataFrame([(n, float(v)) for n, v in zip(("size", "price", "score", "chance"), w, strict=True)], "feature string, weight double")
@@ -116,16 +119,16 @@ def search_weights(spark: SparkSession, d: str) -> DataFrame:
 def query_shift(spark: SparkSession, d: str) -> DataFrame:
     """A shift of query vectors that brings them nearer to what fits than to what doesn't."""
     own = Catalogue(spark, d).vectors()
-    sample = models.bounded(own, "vec_id", 300)
+    sample = models.bounded(own, "vec_id", SHIFT_ROWS)
     v = np.stack(sample.embedding.to_numpy()).astype(float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     y = sample.label.to_numpy()
     rng = np.random.default_rng(1)
-    a, p, n = (rng.integers(0, len(v), 600) for _ in range(3))
+    a, p, n = (rng.integers(0, len(v), SHIFT_TRIPLES) for _ in range(3))
     ok = (y[a] == y[p]) & (y[a] != y[n])
     a, p, n = a[ok], p[ok], n[ok]
     shift = np.zeros(v.shape[1])
-    for _ in range(100):
+    for _ in range(SHIFT_STEPS):
         z = ((v[a] + shift) * (v[p] - v[n])).sum(1) / 0.05 if len(a) else np.zeros(0)
         shift += 0.02 * (((v[p] - v[n]) * models.sigmoid(-z)[:, None]).mean(0) - 0.01 * shift) if len(a) else 0
     return models.scored(own, "vec_id", "embedding", lambda x: (x + shift) @ (v[0]), "closeness")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as nm, text as tx
@@ -387,14 +388,24 @@ def logistic_pair(spark: SparkSession, d: str) -> DataFrame:
     return models.scored(own, "id", "x", lambda a: models.sigmoid(a @ weight))
 
 
+#: Directions that principal_directions finds.
+DIRECTIONS = 32
+
+
 @query()
 def principal_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every vector along the directions of most variance of all vectors, and along the first."""
     own = Catalogue(spark, d).vectors()
-    sample = models.bounded(own.select("vec_id", "embedding"), "vec_id", 2000)
-    x = np.stack(sample.embedding.to_numpy()).astype(float)
-    q, scale = models.principal(x, 4)
-    centre = x.mean(0)
-    return models.scored(own, "vec_id", "embedding", lambda a: ((a - centre) @ q / np.maximum(scale, 1e-9))[:, 0], "first")
+    centre, cov = models.moments(own, "embedding")
+    q, scale = models.principal(cov, DIRECTIONS)
+
+    def task(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if len(b):
+                z = (np.stack(b.embedding.to_numpy()).astype(float) - centre) @ q / np.maximum(scale, 1e-9)
+                yield pd.DataFrame({"vec_id": b.vec_id, "first": z[:, 0], "along": list(z)})
+
+    return own.select("vec_id", "embedding").mapInPandas(task, "vec_id long, first double, along array<double>")
 
 
 # --- changes ---

@@ -7,6 +7,7 @@ import pandas as pd
 
 from quillstack import plans
 from quillstack.operators import models
+from quillstack.plans import learning
 
 
 def test_series_of_all_keys_are_ordered(spark, tmp_path):
@@ -32,3 +33,28 @@ def test_shifts_count_every_row_of_a_bin(spark, tmp_path):
     y = np.repeat([float(yes) for _, yes, _ in bins], [n for _, _, n in bins])
     want = models.fit_logistic(np.stack((np.ones(len(z)), z), 1), y, ridge=1e-3, firth=True)
     assert np.allclose(got[["shift", "slope"]].to_numpy(), [want], atol=1e-8)
+
+
+def test_directions_are_those_of_all_vectors(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(3000, 40)) * np.arange(40, 0, -1)
+    pd.DataFrame({"vec_id": range(3000), "embedding": list(x), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    got = plans.QUERIES["principal_directions"](spark, str(tmp_path)).toPandas().sort_values("vec_id")
+    along = np.stack(got.along.to_numpy())
+    assert along.shape == (3000, 32) and np.allclose(along[:, 0], got["first"])
+    # places along the directions of all rows have mean 0, spread 1 and no correlation
+    assert np.allclose(along.mean(0), 0, atol=1e-9) and np.allclose(along.T @ along / 3000, np.eye(32), atol=1e-8)
+
+
+def test_words_are_fitted_on_all_documents(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("ab1"[k % 3] * n for k, n in enumerate(rng.integers(1, 9, rng.integers(1, 30)))) for _ in range(1500)]
+    pd.DataFrame({"doc_id": range(1500), "text": texts, "lang": "en", "source": "s", "n_chars": [len(t) for t in texts]}).to_parquet(tmp_path / "documents.parquet")
+    got = plans.QUERIES["words_per_character"](spark, str(tmp_path)).toPandas().sort_values("doc_id").words.to_numpy()
+    letters, digits, spaces = (np.array([float(sum(c in own for c in t)) for t in texts]) for own in ("ab", "1", " "))
+    x = np.stack((letters, letters, digits, spaces, np.zeros(1500)), 1)
+    want = x @ models.least_absolute(x, np.array([float(len(t.split())) for t in texts]), 20)
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_surveyed_steps():
+    assert (learning.SHIFT_STEPS, learning.WEIGHT_STEPS) == (300, 2000)
