@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .rolling import LOWER, Chunk, Prefix, chunks, slices
-from .sketches import SeenTwice, seen_twice
-from .store import Scratch
+from .sketches import SeenTwice, filter_bits_for, seen_twice
+from .store import Scratch, free_names
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-FILTER_BITS = 1 << 26
 NO_ID = -(2**63)
 
 
@@ -60,7 +59,7 @@ def lines_of(chunk: Chunk) -> Lines:
     return Lines(doc, start, end, key_start, key_end, count[key_end] - count[key_start], Prefix(lower).of(key_start, key_end), lower)
 
 
-def repeated_keys(docs: DataFrame, least_docs: int, least_points: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeated_keys(docs: DataFrame, least_docs: int, least_points: int, filter_bits: int | None = None) -> DataFrame:
     """(id, hash, key, keeper) of each key and each document that holds it but isn't the one to keep it."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
@@ -75,12 +74,11 @@ def repeated_keys(docs: DataFrame, least_docs: int, least_points: int, filter_bi
             yield {"line": h[new]}
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    found = seen_twice(texts, hashes, {"line": filter_bits})["line"]
+    found = seen_twice(texts, hashes, {"line": filter_bits or filter_bits_for(docs, 40)})["line"]
     held = texts.sparkSession.sparkContext.broadcast(found.twice)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = SeenTwice(8192)
-        seen.bits, seen.twice = filter_bits, held.value
+        seen = SeenTwice.reader(held.value)
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for c in chunks(batch.column(1)):
@@ -96,7 +94,7 @@ def repeated_keys(docs: DataFrame, least_docs: int, least_points: int, filter_bi
     return lines
 
 
-def drop_repeated_lines(docs: DataFrame, least_docs: int = 3, least_points: int = 20, filter_bits: int = FILTER_BITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_docs: int = 3, least_points: int = 20, filter_bits: int | None = None) -> DataFrame:
     """docs with shared lines removed from text; adds n_lines (before) and n_dropped.
 
     A key is the line stripped of ASCII white space at both ends, A-Z lower-cased. Keys of at least
@@ -105,15 +103,17 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 3, least_points: int
 
     Null or empty text: one empty line, the text comes back empty. Null doc_id: one document below
     all others. Rows of equal doc_id: one document. Empty table: no rows. Other columns pass through;
-    of those named n_lines or n_dropped the new ones win; n_chars, if there, is counted anew.
+    of those named n_lines or n_dropped the new ones win; n_chars, if there, is counted anew. A very
+    long text is one row. filter_bits: of each Bloom filter, by default by the size of docs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     suspects = scratch.keep(repeated_keys(docs, least_docs, least_points, filter_bits), "suspects")
     keepers = scratch.keep(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= least_docs).select("key", "keeper"), "keepers")
-    drops = suspects.join(keepers, "key").where("id <> keeper").groupBy("id").agg(F.collect_list("hash").alias("__hash"), F.collect_list("key").alias("__key"))
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    one, hashes_, keys_ = free_names(base.columns, "id", "hash", "key")
+    drops = suspects.join(keepers, "key").where("id <> keeper").groupBy(F.col("id").alias(one)).agg(F.collect_list("hash").alias(hashes_), F.collect_list("key").alias(keys_))
+    joined = base.withColumn(one, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(drops, one, "left").drop(one)
     names = base.columns
     place = [n.lower() for n in names].index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_lines long, n_dropped long"
