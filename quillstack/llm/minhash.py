@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .components import components, forest
 from .rolling import Chunk, chunks, mix, slices, words_of
 from .sketches import SCHEMA, add_up, emit, gather
-from .store import Scratch
+from .store import Scratch, free_names
 
 U = np.uint64
 SHINGLE = 5
@@ -333,8 +333,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs without the near copies: of each class the row of smallest doc_id stays; null ids stay.
 
-    Columns are those of docs. Of rows with equal doc_id, one stays.
+    Columns are those of docs, whatever their names. Of rows with equal doc_id that of least text
+    stays (null: empty), and of those with equal text that of least hash, so that it is the same each time.
     """
-    kept = near_duplicates(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    rest = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    one, row = free_names(docs.columns, "id", "row")
+    kept = near_duplicates(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias(one))
+    own = docs.where("doc_id is not null").withColumn(one, F.col("doc_id").cast("long")).join(kept, one)
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = own.groupBy(one).agg(F.min_by(every, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias(row)).select(*(F.col(f"{row}.`{c}`") for c in docs.columns))
     return rest.unionByName(docs.where("doc_id is null"))
