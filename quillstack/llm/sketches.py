@@ -134,10 +134,29 @@ class SeenTwice:
     def shape(self) -> tuple[np.dtype, tuple[int, ...]]:
         return np.dtype(np.uint8), (self.bits // 8192, 2, 1024)
 
+    @classmethod
+    def reader(cls, twice: np.ndarray) -> SeenTwice:
+        """The second filter alone, as tasks are given it."""
+        out = cls(8192)
+        out.bits, out.twice = 8 * twice.size, twice
+        return out
+
     def suspected(self, hashes: np.ndarray) -> np.ndarray:
         return self._hit(self.twice, self._places(hashes))
 
 
+def filter_bits_for(docs: DataFrame, bytes_a_key: int, least: int = 1 << 22, most: int = 1 << 28) -> int:
+    """Bits of a filter for the keys that texts of docs may hold: eight a key, by the size of its files.
+
+    Beyond `most` bits filters stay as they are, more keys are suspected and moved, and results stay exact.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # a plan without files does not know its size
+        return 1 << 24
+    # files are compressed to a third or so
+    return min(most, max(least, 1 << (8 * (3 * size // bytes_a_key)).bit_length()))
+
+
 def seen_twice(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[str, np.ndarray]], bits: dict[str, int]) -> dict[str, SeenTwice]:
     """Filters of each name over all rows of source; hashes_of gives the hashes of a batch by name."""
 

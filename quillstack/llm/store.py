@@ -19,10 +19,24 @@ def shared_root(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(LOCAL_FALLBACK)
     return LOCAL_FALLBACK
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that none of those taken has, whatever its case."""
+    low = {x.lower() for x in taken}
+    out = []
+    for x in wanted:
+        name = f"__{x}"
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers import this package from where the driver found it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -89,13 +89,46 @@ def test_passages_of_odd_rows(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.text("abé", max_size=120), min_size=1, max_size=5))
-def test_passages_at_random(spark, texts):
+@given(st.lists(st.text("abé", max_size=120), min_size=1, max_size=5), st.sampled_from([1, 100]))
+def test_passages_at_random(spark, texts, group):
+    """Also with every group too large for one task."""
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
-    got = suffix.drop_repeated_passages(docs, width=20, gram=8, filter_bits=1 << 16).orderBy("doc_id").select("n_removed", F.sha2("kept", 256).alias("h")).collect()
+    got = suffix.drop_repeated_passages(docs, width=20, gram=8, filter_bits=1 << 16, group=group).orderBy("doc_id").select("n_removed", F.sha2("kept", 256).alias("h")).collect()
     assert [(r.n_removed, r.h) for r in got] == brute_passages([t.encode() for t in texts], 20)
 
 
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(max_size=6), st.binary(min_size=12, max_size=16)), max_size=12))
+def test_dictionary_order_is_that_of_plain_suffixes(rows):
+    """Suffixes of a group at its trigger, sorted: as Python sorts them, with their common prefixes."""
+    rows = sorted(rows, key=lambda r: r[0])
+    texts = [left + right for _, left, right in rows]
+    end = np.cumsum([0] + [len(t) for t in texts])
+    trigger = end[:-1] + np.array([len(r[1]) for r in rows], int)
+    data, part = np.frombuffer(b"".join(texts), np.uint8), np.array([r[0] for r in rows], int)
+    if not rows:
+        return
+    order, common = suffix.suffix_order(data, part, trigger, end[1:], 12)
+    suffixes = [r[2][:12] for r in rows]
+    assert [(part[k], suffixes[k]) for k in order] == sorted((r[0], r[2][:12]) for r in rows)
+    for a, b, n in zip(order, order[1:], common[1:], strict=False):
+        x, y = suffixes[a], suffixes[b]
+        want = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert n == (want if part[a] == part[b] else -1)
+    # every window that two rows of a group share, wherever it begins
+    held = Counter((g, len(left) - s, (left + right)[s : s + 12]) for g, left, right in rows for s in range(len(left) + len(right) - 11))
+    want = sorted((k, s) for k, (g, left, right) in enumerate(rows) for s in range(len(left) + 1) if len(left) + len(right) - s >= 12 and held[(g, len(left) - s, (left + right)[s : s + 12])] > 1)
+    got = suffix.repeated_in_dictionary(data, part, end[:-1], trigger, end[1:], 12)
+    assert sorted(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    """Names that operators use inside, and names of their results, as columns of the input."""
+    docs = odd(spark).withColumns({"__id": F.lit(1), "__hash": F.lit("x"), "__twin": F.lit(2), "_id": F.lit(3), "id": F.lit(4), "key": F.lit(5)})
+    for own in (lines.drop_repeated_lines(docs), suffix.drop_repeated_passages(docs, width=20, gram=8), minhash.keep_one(docs)):
+        row = own.where("doc_id = 1").first()
+        assert (row["__id"], row["__hash"], row["__twin"], row["_id"], row["id"], row["key"]) == (1, "x", 2, 3, 4, 5)
+
+
 def word_sets(texts):
     out = []
     for t in texts:
