@@ -4,14 +4,17 @@ Texts become sets of five-word shingles weighted by TF-IDF. Improved consistent
 draws signatures, bands of them give candidate buckets, each bucket is linked through pivots, and a
 link stands only if the weighted Jaccard similarity of the two whole texts is at least 0.8.
 
-Document frequencies are counted over all documents in a hashed shingle space of fixed size, so what
-every task is given is half a megabyte at any corpus size and rare shingles weigh alike at any size.
+Document frequencies are counted over all documents in a sketch of two rows of counters. What other
+shingles add to a counter is known on average and taken off, and the lesser of both rows stands: a
+shingle's share of the documents is resolved down to about COUNTERS⁻¹ times the shingles of a
+document (0.03 % at 300), whatever the size of the corpus; rarer ones all weigh as rare.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,9 @@ U = np.uint64
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 4
-BUCKETS = 1 << 16
-DAMPING = 0.25
+COUNTERS = 1 << 20
+#: Weight of a shingle in no other document over that of one in all of them is 1 + DAMPING * ln(documents) / SCALE.
+DAMPING, SCALE = 0.25, np.log(1 << 16)
 #: Buckets of up to SMALL members are compared pair by pair; in larger ones PIVOTS members meet all that are still apart.
 SMALL = PIVOTS = 8
 LEFT_ROWS, RIGHT_ROWS = 256, 512
@@ -85,22 +89,49 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first], np.diff(np.append(first, len(key))), n
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """Weight of each hashed shingle: 1 + DAMPING * ln((1 + N) / (1 + df)) / ln(BUCKETS), over all documents.
+def counters_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counter of each shingle in both rows of the sketch."""
+    return (key & U(COUNTERS - 1)).astype(np.int64), (key >> U(26) & U(COUNTERS - 1)).astype(np.int64)
+
+
+@dataclass
+class Weights:
+    """Inverse document frequency by counter, a row of counters each; the greater of both stands."""
+
+    one: np.ndarray
+    two: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray, documents: int) -> Weights:
+        """1 + DAMPING * ln((1 + N) / (1 + df)) / SCALE of each counter, what others add on average taken off first."""
+        rows = []
+        for own in counts.astype(float):
+            noise = (own.sum() - own) / (COUNTERS - 1)
+            rows.append(np.maximum(1.0, 1 + DAMPING * np.log((1 + documents) / (1 + np.maximum(own - noise, 1.0))) / SCALE).astype(np.float32))
+        return cls(*rows)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        a, b = counters_of(key)
+        return np.maximum(self.one[a], self.two[b]).astype(float)
+
+
+def inverse_frequencies(texts: DataFrame) -> Weights:
+    """Weights of shingles by the number of documents that hold them, counted over all documents.
 
     Damped, so that what a large group of near copies shares isn't outweighed by what each has alone.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS, np.int64), np.zeros(1, np.int64)
+        df, n = np.zeros((2, COUNTERS), np.int64), np.zeros(1, np.int64)
         for batch in batches:
             n += batch.num_rows
             for c in chunks(batch.column(1)):
-                df += np.bincount((shingles(c)[0] & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                for own, at in zip(df, counters_of(shingles(c)[0]), strict=True):
+                    np.add.at(own, at, 1)
         yield from emit({"df": df, "n": n})
 
-    got = gather(texts.mapInArrow(task, SCHEMA), texts.rdd.getNumPartitions(), {"df": (np.dtype(np.int64), (BUCKETS,)), "n": (np.dtype(np.int64), (1,))}, add_up("int64"))
-    return np.maximum(1.0, 1 + DAMPING * np.log((1 + got["n"][0]) / (1 + got["df"])) / np.log(BUCKETS))
+    got = gather(texts.mapInArrow(task, SCHEMA), texts.rdd.getNumPartitions(), {"df": (np.dtype(np.int64), (2, COUNTERS)), "n": (np.dtype(np.int64), (1,))}, add_up("int64"))
+    return Weights.of(got["df"], int(got["n"][0]))
 
 
 def signatures(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +177,13 @@ def signatures(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[first] if len(doc) else first, bands
 
 
-def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
+def similarity(left: pa.Array, right: pa.Array, idf: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of the whole texts of each row; 0 where a text has no words."""
     out = np.zeros(len(left))
 
     def parts(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         key, tf, _ = shingles(c)
-        return key, tf * idf[(key & U(BUCKETS - 1)).astype(np.int64)]
+        return key, tf * idf(key)
 
     lo = 0
     for c in chunks(left, rows=500):
@@ -172,7 +203,7 @@ def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(left: pa.Array, right: pa.Array, idf: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+def block_links(left: pa.Array, right: pa.Array, idf: Weights, similar: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of every pair of a left and a right text whose similarity is at least `similar`.
 
     A shingle that occurs k times is k elements, so that the shared weight is a matrix product.
@@ -186,7 +217,7 @@ def block_links(left: pa.Array, right: pa.Array, idf: np.ndarray, similar: float
             row.append(np.repeat((key >> DOC_BITS).astype(np.int64) + c.lo, tf))
             own = np.repeat(key & LOW, tf)
             name.append(mix(own + step.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-            weight.append(idf[(own & U(BUCKETS - 1)).astype(np.int64)])
+            weight.append(idf(own))
         return np.concatenate(row), np.concatenate(name), np.concatenate(weight)
 
     (i, a, wa), (j, b, wb) = elements(left), elements(right)
@@ -236,7 +267,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             ids, column = np.asarray(batch.column(0)), batch.column(1)
             for c in chunks(column):
                 key, tf, _ = shingles(c)
-                at, bands = signatures(key, tf * idf[(key & U(BUCKETS - 1)).astype(np.int64)])
+                at, bands = signatures(key, tf * idf(key))
                 lists = [None] * len(c)
                 for k, row in zip(at.tolist(), bands.view(np.int64), strict=True):
                     lists[k] = row

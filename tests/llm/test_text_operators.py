@@ -158,7 +158,7 @@ def test_near_copies_are_found_and_others_left_alone(spark):
 
 def test_similarity_is_weighted_jaccard():
     a, b = ["one two three four five six", "x", None, "same same same same same same"], ["one two three four five seven", "x", "y", "same same same same same"]
-    idf = np.ones(minhash.BUCKETS)
+    idf = minhash.Weights(*np.ones((2, minhash.COUNTERS)))
     got = minhash.similarity(pa.array(a), pa.array(b), idf)
     want = []
     for x, y in zip(word_sets(a), word_sets(b), strict=True):
@@ -169,6 +169,35 @@ def test_similarity_is_weighted_jaccard():
     assert (1, 1) in set(zip(u.tolist(), v.tolist(), strict=True)) and (3, 3) in set(zip(u.tolist(), v.tolist(), strict=True))
 
 
+def test_weights_are_inverse_document_frequencies(spark):
+    """Of a shingle in every document, in half of them, and in one."""
+    texts = spark.createDataFrame([(k, f"a b c d e {'f g h i j' if k % 2 else ''} {k}x {k}y {k}z {k}v {k}w") for k in range(400)], "id long, text string")
+    weigh = minhash.inverse_frequencies(texts)
+    key = lambda text: minhash.shingles(next(chunks(pa.array([text]))))[0]
+    want = lambda df: 1 + minhash.DAMPING * np.log(401 / (1 + df)) / minhash.SCALE
+    got = [float(weigh(key(t))[0]) for t in ("a b c d e", "f g h i j", "7x 7y 7z 7v 7w")]
+    assert np.allclose(got, [want(400), want(200), want(1)], atol=2e-3) and got[0] < got[1] < got[2]
+
+
+def test_near_copy_query_against_all_pairs(spark):
+    """The query's classes are those of all pairs of whole texts at 0.8 of weighted Jaccard similarity."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").toPandas()
+    weigh = minhash.inverse_frequencies(spark.createDataFrame(docs[["doc_id", "text"]].rename(columns={"doc_id": "id"})))
+    texts = pa.array(docs.text)
+    u, v = minhash.block_links(texts, texts, weigh, minhash.SIMILAR)
+    label = {k: k for k in range(len(docs))}
+    same = [(k, docs.text[:k][docs.text[:k] == t].index[0]) for k, t in enumerate(docs.text) if (docs.text[:k] == t).any()]
+    for _ in range(len(docs)):
+        before = dict(label)
+        for a, b in [*zip(u.tolist(), v.tolist(), strict=True), *same]:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    got = queries.op1_minhash_near_dedup(spark, DATA).toPandas().sort_values("doc_id").class_id.tolist()
+    want = [int(docs.doc_id[label[k]]) for k in range(len(docs))]
+    assert got == want and len(set(want)) < len(want)
+
+
 def test_large_groups_meet_in_blocks(spark):
     """A chain of texts, each near the next only, shares buckets with all of its group."""
     rng = np.random.default_rng(1)
