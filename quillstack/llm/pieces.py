@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import LONGEST, PairTable
+from .rolling import slices
 from .store import workers_find_package
 
 SPACE = "▁"
@@ -100,6 +101,17 @@ class Piece:
     end: int
 
 
+@dataclass
+class Encoded:
+    """Ids of a text, source bytes of each, the ids as text, and what they decode to."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: str
+    decoded: str
+
+
 class PieceModel:
     """Encoder and decoder of a BPE model file, ids as the public library gives them."""
 
@@ -156,8 +168,8 @@ class PieceModel:
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         #: words never join if no piece has the mark of a space behind something else
         self.apart = not self.user and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
-        self.lines: dict[str, tuple[str, int, str]] = {}
+        #: of each part: its ids and the characters that each covers, as bytes of numbers, the ids as text, and what they decode to
+        self.parts: dict[str, tuple[bytes, bytes, str, str]] = {}
         self._cut = re.compile(self._parts_pattern())
         self._pairs: PairTable | None = None
 
@@ -181,13 +193,14 @@ class PieceModel:
                     self._symbol[ord(p)] = i
             self._shown = [str(i) for i in range(len(self.pieces))]
             self._surface = [p.replace(SPACE, " ") for p in self.pieces]
+            self._length = np.array([len(p) for p in self.pieces], np.int16)
         return self._pairs
 
     def learn(self, parts: set[str]) -> None:
         """Encode parts that are not known yet, all at once."""
-        if len(self.lines) >= CACHED:
-            self.lines.clear()
-        new = list(parts.difference(self.lines))
+        if len(self.parts) >= CACHED:
+            self.parts.clear()
+        new = list(parts.difference(self.parts))
         if not new:
             return
         table = self._table()
@@ -198,20 +211,27 @@ class PieceModel:
         flat = np.where(flat < 0, -2 - points.astype(np.int32), flat)
         plain = (size <= LONGEST) & (not self.user and not self.unused and self.byte_fallback)
         ids, n = table.merge_all(flat[np.repeat(plain, size)], size[plain])
-        shown, surface, at, own = self._shown, self._surface, 0, ids.tolist()
+        shown, surface, length, at = self._shown, self._surface, self._length, 0
+        raw, own, cover = ids.astype(np.int32).tobytes(), ids.tolist(), length[np.maximum(ids, 0)].tobytes()
         strange = np.zeros(len(n), bool)
         strange[np.repeat(np.arange(len(n)), n)[ids < 0]] = True
         for k, m, odd in zip(np.flatnonzero(plain).tolist(), n.tolist(), strange.tolist(), strict=True):
             got = own[at : at + m]
-            at += m
             if odd:
-                got = [x for i in got for x in ([i] if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode()])]
-                self.lines[new[k]] = ",".join([shown[i] for i in got]), len(got), self.decode(got, False)
+                listed, covered = [], []
+                for i in got:
+                    code = [i] if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode()]
+                    listed += code
+                    covered += [int(length[i]) if i >= 0 else 1, *[0] * (len(code) - 1)]
+                self._keep(new[k], listed, covered)
             else:
-                self.lines[new[k]] = ",".join([shown[i] for i in got]), m, "".join([surface[i] for i in got])
+                self.parts[new[k]] = raw[4 * at : 4 * (at + m)], cover[2 * at : 2 * (at + m)], ",".join([shown[i] for i in got]), "".join([surface[i] for i in got])
+            at += m
         for k in np.flatnonzero(~plain).tolist():
-            got, _ = self.merge(new[k])
-            self.lines[new[k]] = ",".join(map(str, got)), len(got), self.decode(got, False)
+            self._keep(new[k], *self.merge(new[k]))
+
+    def _keep(self, part: str, ids: list[int], cover: list[int]) -> None:
+        self.parts[part] = np.array(ids, np.int32).tobytes(), np.array(cover, np.int16).tobytes(), ",".join(map(str, ids)), self.decode(ids, False)
 
     def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
         """Normalised text, and the source bytes (start, end) of each of its characters."""
@@ -239,8 +259,10 @@ class PieceModel:
             while kept and kept[-1][0] == " ":
                 kept.pop()
             out = kept
-        if out and self.prefix:
-            out.insert(0, (" ", out[0][1], out[0][1]))
+        # also before what the map leaves nothing of, unless spaces at the end go
+        if self.prefix and (out or data and not self.squeeze):
+            at = out[0][1] if out else 0
+            out.insert(0, (" ", at, at))
         mark = SPACE if self.escape else " "
         return "".join(mark if ch == " " else ch for ch, _, _ in out), [s for _, s, _ in out], [e for _, _, e in out]
 
@@ -313,27 +335,43 @@ class PieceModel:
                 put(p)
         return ids, cover
 
-    def merged(self, part: str) -> tuple[list[int], list[int]]:
-        got = self.cache.get(part)
-        if got is None:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            got = self.cache[part] = self.merge(part)
-        return got
+    def aligned(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
+        """normalise(); where the map is empty and nothing is squeezed, without a loop over characters."""
+        if self.map.units or self.squeeze:
+            norm, start, end = self.normalise(text)
+            return norm, np.array(start, np.int64), np.array(end, np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        start = np.flatnonzero((data & 0xC0) != 0x80)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        if self.prefix and len(start):
+            start, end = np.concatenate((start[:1], start)), np.concatenate((start[:1], end))
+            text = " " + text
+        return text.replace(" ", SPACE) if self.escape else text, start, end
+
+    def encode_all(self, texts: list[str]) -> Iterator[Encoded]:
+        """Ids of each text with the source bytes that each stands for; bytes of one character share its span.
+
+        Parts that pieces never reach across are merged once each, and projected wherever they stand.
+        """
+        norms = [self.aligned(t) for t in texts]
+        cut = [self._cut.findall(x) if self.apart else [x] * bool(x) for x, _, _ in norms]
+        self.learn(set().union(*cut))
+        known = self.parts
+        for (_, start, end), own in zip(norms, cut, strict=True):
+            ids, cover, lines, surfaces = zip(*[known[p] for p in own], strict=True) if own else ((), (), (), ())
+            size = np.frombuffer(b"".join(cover), np.int16).astype(np.int64)
+            last = np.cumsum(size)
+            first = last - np.maximum(size, 1)
+            numbers = np.frombuffer(b"".join(ids), np.int32)
+            back = self.decode(numbers.tolist()) if self.squeeze else "".join(surfaces)
+            if self.prefix and not self.squeeze and back.startswith(" "):
+                back = back[1:]
+            yield Encoded(numbers, start[first], end[last - 1], ",".join(lines), back)
 
     def encode(self, text: str) -> list[Piece]:
-        """Pieces of text with the source bytes that each stands for; bytes of one character share its span."""
-        norm, start, end = self.normalise(text)
-        out, at = [], 0
-        for part in self._cut.findall(norm) if self.apart else [norm] * bool(norm):
-            ids, cover = self.merged(part)
-            s = e = 0
-            for i, n in zip(ids, cover, strict=True):
-                if n:
-                    s, e = start[at], end[at + n - 1]
-                out.append(Piece(i, self.pieces[i], s, e))
-                at += n
-        return out
+        """Pieces of text with the source bytes that each stands for."""
+        got = next(self.encode_all([text]))
+        return [Piece(i, self.pieces[i], s, e) for i, s, e in zip(got.ids.tolist(), got.start.tolist(), got.end.tolist(), strict=True)]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids. first: at the start of a text, where one mark of a space is dropped."""
@@ -375,36 +413,6 @@ class PieceModel:
         flush()
         return "".join(out)
 
-    def normalised(self, text: str) -> str:
-        """normalise() without the alignment."""
-        if self.map.units or self.squeeze or not self.escape:
-            return self.normalise(text)[0]
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
-    def summaries(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Of each text the number of ids, their digest, and the digest of the decoded text.
-
-        Parts that pieces never reach across are encoded and decoded once each and joined, where the
-        model allows it.
-        """
-        norms = [self.normalised(t) for t in texts]
-        parts = [self._cut.findall(x) for x in norms] if self.apart else []
-        if self.apart:
-            self.learn(set().union(*parts))
-        lines, mark = self.lines, self.prefix or self.squeeze
-        for k, norm in enumerate(norms):
-            if not self.apart:
-                ids = self.merge(norm)[0]
-                shown, n, back = ",".join(map(str, ids)), len(ids), self.decode(ids)
-            elif parts[k]:
-                own, count, texts_ = zip(*[lines[p] for p in parts[k]], strict=True)
-                shown, n, back = ",".join(own), sum(count), "".join(texts_)
-                if mark and back.startswith(" "):
-                    back = back[1:]
-            else:
-                shown, n, back = "", 0, ""
-            yield n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
-
 
 _models: dict[str, PieceModel] = {}
 
@@ -425,9 +433,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(model_path)
         for batch in batches:
-            got = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-            lists = [pa.array([[getattr(p, k) for p in x] for x in got], pa.list_(pa.int32())) for k in ("id", "start", "end")]
-            yield pa.record_batch([batch.column(0), *lists], names=["doc_id", "ids", "starts", "ends"])
+            for part in slices([batch]):
+                got = list(own.encode_all([t or "" for t in part.column(1).to_pylist()]))
+                lists = [pa.array([getattr(x, k).astype(np.int32) for x in got], pa.list_(pa.int32())) for k in ("ids", "start", "end")]
+                yield pa.record_batch([part.column(0), *lists], names=["doc_id", "ids", "starts", "ends"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -445,19 +454,22 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, without moving the ids.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 of each whole text's encoding, without moving the ids.
 
-    Null text: as an empty one. Rows of equal or null doc_id: each on its own. Other columns are not read.
+    spans_sha256 is of the starts and then the ends of all pieces' source bytes, as little-endian
+    32-bit numbers. Null text: as an empty one. Rows of equal or null doc_id: each on its own. Very
+    long texts are one row. Empty table: no rows. Other columns, of whatever names, are not read.
     """
     workers_find_package(docs.sparkSession)
 
+    def row(x: Encoded) -> tuple[int, str, str, str]:
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return len(x.ids), sha(x.line.encode()), sha(x.decoded.encode()), sha(x.start.astype("<i4").tobytes() + x.end.astype("<i4").tobytes())
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(model_path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                n, a, b = zip(*own.summaries(texts), strict=True)
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in slices(batches):
+            n, *shas = zip(*map(row, own.encode_all([t or "" for t in part.column(1).to_pylist()])), strict=True)
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), *map(pa.array, shas)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
