@@ -21,6 +21,8 @@ from .store import Scratch
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 128 << 20
+#: Frames that a task reads, about.
+TASK_FRAMES = 16
 LEAST_SHARED = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -157,7 +159,9 @@ def read_archives(index: DataFrame) -> DataFrame:
     Each frame is read once, by its place in the seek table, and each record at its offset; the
     digest of a response is that of the bytes read.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "record_id")).alias("at"))
+    # the index is small beside what it points at, so tasks are dealt by frames and not by the index's bytes
+    tasks = max(1, -(-index.select("bundle", "frame").distinct().count() // TASK_FRAMES))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "record_id")).alias("at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
