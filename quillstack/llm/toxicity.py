@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .labelled import SAMPLE_DOCS, labelled_ids, labelled_texts, remainder
 from .rolling import LOWER, Chunk, Prefix, chunks, mix, slices, words_of
-from .store import workers_find_package
+from .store import Scratch, workers_find_package
 
 BUCKETS = 1 << 22
 STEMS = (4, 5, 6)
 TRAITS = 1 + len(STEMS)
 LONGEST = 64
-SAMPLE_TOKENS = 4_000_000
+SAMPLE_TOKENS, SAMPLE_FILES = 4_000_000, 4
+#: Sentences without a listed word that the field is fitted on, about; all of those with one are.
+PLAIN_SENTENCES = 20_000
 REJECT = 0.7
 #: Share of a word's documents that are toxic, at least, where its tokens are labelled so.
 PURE = 0.8
@@ -179,8 +181,8 @@ def toxic_traits(sample: Sample) -> np.ndarray:
     return out
 
 
-def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e-2) -> Field:
-    """Fit the field on labelled sentences, and the curve on documents, one document after another."""
+def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e-2, plain: int = PLAIN_SENTENCES) -> Field:
+    """Fit the field on labelled sentences (of those without a listed word about `plain`), and the curve on documents."""
     field = Field(np.zeros(BUCKETS, np.float32), -2.0, np.zeros((2, 2)), np.array([-20.0, 0, 0]))
     if not len(sample.y) or not sample.y.any():
         return field
@@ -199,7 +201,7 @@ def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e
             continue
         ends = sample.ends(k)
         hot = np.logical_or.reduceat(listed[w[:, 0]], ends[:-1])
-        for i in np.flatnonzero(hot | (rng.random(len(hot)) < min(1.0, 20_000 / total))):
+        for i in np.flatnonzero(hot | (rng.random(len(hot)) < min(1.0, plain / total))):
             part = w[ends[i] : ends[i + 1]]
             parts.append(part)
             labels.append(toxic[part].any(1) & bool(y))
@@ -267,9 +269,15 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, most
     fitting = within(((r.id, r.n) for r in rows), tokens)
     taken = spark.createDataFrame([(r.id, r.y) for r in rows if r.id in fitting], "id long, y int")
     words, heads, y = [], [], []
-    for row in labelled_texts(docs, taken).mapInArrow(task, "id long, y int, words binary, heads binary").toLocalIterator():
-        words.append(np.frombuffer(bytes(row.words), np.int32).reshape(-1, TRAITS))
-        heads.append(np.frombuffer(bytes(row.heads), np.int32))
+    # the bounded sample goes to a few files first: read one by one from the scan, it would be a job for each of its tasks
+    scratch = Scratch(spark, "toxicity")
+    sample = scratch.keep(labelled_texts(docs, taken).mapInArrow(task, "id long, y int, words binary, heads binary").repartition(SAMPLE_FILES, "id"), "sample")
+    got = {}
+    for row in sample.toLocalIterator():
+        got.setdefault(row.id, []).append(row)
+    for row in sorted((r for own in got.values() for r in own), key=lambda r: (r.id, bytes(r.words))):
+        words.append(np.frombuffer(row.words, np.int32).reshape(-1, TRAITS))
+        heads.append(np.frombuffer(row.heads, np.int32))
         y.append(row.y)
     return train(Sample(words, heads, np.array(y, int)))
 
