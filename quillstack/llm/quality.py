@@ -3,8 +3,9 @@
 Every word, and every shape (case, length, what stands behind it, repetition), owns a fixed sparse
 vector of -1, 0 and 1; its word vector is the sum of those of its neighbours over the whole corpus.
 A document is the mean of the vectors of its words and of its shapes. A network with one hidden
-layer, written in numpy, is fitted on a bounded sample; a temperature fitted on rows that the
-network has not seen calibrates it. Words are hashed, so that the tables have a fixed size.
+layer, written in numpy, is fitted on a bounded sample; a temperature fitted on rows that neither
+the network nor the choice of its state has seen calibrates it. Words are hashed into WORDS rows, so
+that the tables have a fixed size; words that share a row share its vector.
 """
 
 from __future__ import annotations
@@ -77,14 +78,14 @@ def corpus_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 own, other = word[np.concatenate((a, b))], word[np.concatenate((b, a))]
                 words += np.bincount((own[:, None] * WIDTH + _WORD_AT[other]).ravel(), _WORD_SIGN[other].ravel(), WORDS * WIDTH)
                 pairs += np.bincount(shape[a] * SHAPES + shape[b], minlength=SHAPES * SHAPES).reshape(SHAPES, SHAPES)
-        yield from emit({"words": words.astype(np.int64).astype(np.int32), "pairs": pairs.astype(np.int32)})
+        yield from emit({"words": words.astype(np.int64), "pairs": pairs.astype(np.int64)})
 
     texts = docs.select("text")
 
     def joined(payloads: list[bytes], name: str) -> bytes:
-        return add_up("int32")(payloads, name)
+        return add_up("int64")(payloads, name)
 
-    got = gather(texts.mapInArrow(task, SCHEMA), texts.rdd.getNumPartitions(), {"words": (np.dtype(np.int32), (WORDS, WIDTH)), "pairs": (np.dtype(np.int32), (SHAPES, SHAPES))}, joined)
+    got = gather(texts.mapInArrow(task, SCHEMA), texts.rdd.getNumPartitions(), {"words": (np.dtype(np.int64), (WORDS, WIDTH)), "pairs": (np.dtype(np.int64), (SHAPES, SHAPES))}, joined)
     index = np.zeros((SHAPES, WIDTH))
     np.put_along_axis(index, _SHAPE_AT, _SHAPE_SIGN, 1)
     pairs = got["pairs"].astype(float)
@@ -131,13 +132,13 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, ridge: float = 1e-3) -> Network:
-    """Fit on four fifths of the rows, keep the best state on the rest, and calibrate there."""
+    """Fit on four fifths of the rows, keep the best state on a tenth, and calibrate on the tenth that neither has seen."""
     rng = np.random.default_rng(11)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(p / (1 - p))), 1.0)
     order = rng.permutation(len(y))
-    held, own = order[: len(y) // 5], order[len(y) // 5 :]
+    fresh, held, own = np.split(order, (len(y) // 10, len(y) // 5))
     net = Network(x[own].mean(0), x[own].std(0) + 1e-6, rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), 0.0, 1.0)
     z = (x - net.mean) / net.scale
     state = [net.inner, net.inner_bias, net.outer, np.zeros(1)]
@@ -165,8 +166,8 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, ri
         if now < best:
             best, kept = now, [s.copy() for s in state]
     net.inner, net.inner_bias, net.outer, net.outer_bias = kept[0], kept[1], kept[2], float(kept[3][0])
-    if len(held):
-        net.temperature = float(min(np.exp(np.linspace(-1.5, 1.5, 61)), key=lambda t: loss(kept, held, t)))
+    if len(fresh):
+        net.temperature = float(min(np.exp(np.linspace(-1.5, 1.5, 61)), key=lambda t: loss(kept, fresh, t)))
     return net
 
 
