@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import DATA
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quillstack.llm import quality, sketches, topk, toxicity, vectors, warc
 from quillstack.llm.store import Scratch
@@ -26,6 +27,26 @@ def test_topk_of_odd_rows(spark):
     assert topk.top_k(odd(spark).where("false")).count() == 0
 
 
+@settings(deadline=None, max_examples=3)
+@given(st.integers(0, 10**6), st.integers(1, 5), st.integers(1, 4))
+def test_topk_against_brute_force(spark, seed, nodes, k):
+    """Few values, so that scores tie at the k-th place; several blocks of queries; a column named like a result."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-2, 3, (60, 5)) / 1024
+    frame = pd.DataFrame({"vec_id": rng.permutation(60), "embedding": [r.tolist() for r in x], "rank": "x", "node": 1})
+    before, topk.QUERY_BLOCK = topk.QUERY_BLOCK, 4
+    try:
+        got = topk.top_k(spark.createDataFrame(frame), k, every=5, nodes=nodes).toPandas()
+    finally:
+        topk.QUERY_BLOCK = before
+    v = {i: np.floor(1024 * r).astype(int) for i, r in zip(frame.vec_id, x, strict=True)}
+    want = []
+    for q in sorted(i for i in v if i % 5 == 0):
+        best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want)
+
+
 @settings(deadline=None, max_examples=20)
 @given(st.integers(0, 10**6))
 def test_product_is_exact(seed):
@@ -207,3 +228,18 @@ def test_stages_take_empty_tables(spark, text):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns with the names of what stages add, and of what they use inside, come through each stage as they were."""
+    import corpus_pipeline
+
+    names = ["score", "n_lines", "kept", "__id", "class_id", "spans", "other_columns", "N_Removed"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k} "), "doc_id"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[name] == f"{k} {r.doc_id}" for r in rows for k, name in enumerate(names))
