@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs, parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, forest
 from .store import Scratch
 
 SIMILAR = 0.9
-SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 50_000, 6, 8192
+SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS, MOST_TASKS = 50_000, 6, 8192, 100_000
 NEIGHBOURS, BUILD_BEAM, BEAM, WIDEST = 8, 32, 48, 384
 RECALL, AUDITED = 0.999, 64
 LEVEL_SHARE = 16
@@ -234,6 +235,13 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: floa
     return q[keep], r[keep]
 
 
+def folder(path: str, size: int, name: str, number: int) -> pa.Table:
+    """Rows of one folder of a table that was written by size and name."""
+    store, base = fs.FileSystem.from_uri(f"{path}/size={size}/{name}={number}")
+    files = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(store.open_input_file(x)) for x in files])
+
+
 def _table(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Representatives, copies and vectors of a group of classes."""
     column = group.column("embedding").combine_chunks()
@@ -284,33 +292,36 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
         near = [x.near.tobytes() for x in graph.layers]
         return pa.table({"shard": group.column("shard")[:1], "size": group.column("size")[:1], "rep": [rep.astype(np.int64).tobytes()], "copies": [copies.astype(np.int64).tobytes()], "exact": [exact.tobytes()], "top": [graph.top.tobytes()], "near": pa.array([near], pa.list_(pa.binary()))})
 
-    graphs = scratch.keep(dealt.groupBy("shard", "size").applyInArrow(build, "shard int, size int, rep binary, copies binary, exact binary, top binary, near array<binary>"), "graphs")
-    asked = dealt.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("shard", "size", "block")
-    answer = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "size", "block")
-
-    def query(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        rep, _, queries = _table(left)
-        own = right.to_pylist()[0]
-        shard_rep, copies = np.frombuffer(own["rep"], np.int64), np.frombuffer(own["copies"], np.int64)
-        exact = np.frombuffer(own["exact"]).reshape(len(shard_rep), -1)
-        units = exact.astype(np.float32)
-        layers = []
-        for data in own["near"]:
-            layer = Layer(units, 0)
-            layer.near = np.frombuffer(data, np.int32).reshape(len(units), -1)
-            layers.append(layer)
-        q, r = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar)
-        other = rep[q] != shard_rep[r]
-        q, r = q[other], r[other]
-        n = np.bincount(q, copies[r], len(rep)).astype(np.int64)
-        u, v = forest(rep[q], shard_rep[r])
-        some = np.flatnonzero(n)
-        return pa.table([pa.array(np.concatenate((rep[some], u))), pa.array(np.concatenate((np.full(len(some), -1), v)), mask=np.arange(len(some) + len(v)) < len(some)), pa.array(np.concatenate((n[some], np.zeros(len(u), np.int64))))], schema=schema)
-
-    got = scratch.keep(asked.cogroup(answer).applyInArrow(query, "u long, v long, n long"), "links")
+    graphs, asked = scratch.path("graphs"), scratch.path("blocks")
+    dealt.groupBy("shard", "size").applyInArrow(build, "shard int, size int, rep binary, copies binary, exact binary, top binary, near array<binary>").write.partitionBy("size", "shard").parquet(graphs)
+    dealt.select("rep", "copies", "embedding", "size", "block").repartition("size", "block").write.partitionBy("size", "block").parquet(asked)
+
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of a block to a shard; both are read from the shared folder by their names."""
+        for batch in batches:
+            for size, shard, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = folder(graphs, size, "shard", shard).to_pylist()[0]
+                rep, _, queries = _table(folder(asked, size, "block", block))
+                shard_rep, copies = np.frombuffer(own["rep"], np.int64), np.frombuffer(own["copies"], np.int64)
+                exact = np.frombuffer(own["exact"]).reshape(len(shard_rep), -1)
+                units = exact.astype(np.float32)
+                layers = []
+                for data in own["near"]:
+                    layer = Layer(units, 0)
+                    layer.near = np.frombuffer(data, np.int32).reshape(len(units), -1)
+                    layers.append(layer)
+                q, r = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar)
+                other = rep[q] != shard_rep[r]
+                q, r = q[other], r[other]
+                n = np.bincount(q, copies[r], len(rep)).astype(np.int64)
+                u, v = forest(rep[q], shard_rep[r])
+                some = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(np.concatenate((rep[some], u))), pa.array(np.concatenate((np.full(len(some), -1), v)), mask=np.arange(len(some) + len(v)) < len(some)), pa.array(np.concatenate((n[some], np.zeros(len(u), np.int64))))], names=["u", "v", "n"])
+
+    pairs = scratch.keep(dealt.select("size", "shard").distinct().join(dealt.select("size", "block").distinct(), "size"), "pairs")
+    # a pair is a task's work, so they are dealt by number and not by their few bytes
+    tasks = min(max(1, pairs.count()), MOST_TASKS)
+    got = scratch.keep(pairs.repartition(tasks).mapInArrow(query, "u long, v long, n long"), "links")
     counts = got.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
     links = got.where("v is not null").select("u", "v")
     member = signed.select("vec_id", "digest").join(classes.select("digest", "rep", "copies"), "digest", "left")

@@ -77,6 +77,23 @@ def test_graph_recall():
     assert len(q) >= 0.99 * truth and (np.einsum("ij,ij->i", x[::5][q], x[r]) >= 0.9).all()
 
 
+def test_links_at_the_threshold(spark):
+    """A cosine of exactly 0.9 links, one just below does not; several shards and blocks, every link counted from both ends."""
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [9.0, np.sqrt(19.0), 0.0]), (2, [0.8999999, 0.0, np.sqrt(1 - 0.8999999**2)])]
+    got = vectors.near_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    unit = [np.array(v) / np.sqrt(np.dot(v, v)) for _, v in rows]
+    assert got.n_links.to_dict() == {i: sum(unit[i] @ unit[j] >= 0.9 for j in range(3) if j != i) for i in range(3)}
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 8)), 5, 0) + 0.15 * rng.normal(size=(200, 8))
+    before, vectors.BLOCK_ROWS = vectors.BLOCK_ROWS, 64
+    try:
+        got = vectors.near_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), shard_rows=30).toPandas().set_index("vec_id")
+    finally:
+        vectors.BLOCK_ROWS = before
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got.n_links.sort_index().tolist() == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
 def test_archives_read_back_by_index(spark):
     rows = [(1, "http://a", "<p>" + "x" * 200), (2, "http://b", "<p>" + "x" * 200), (3, None, None), (4, "http://c\r\nX: y", "short"), (5, "u", "short"), (None, "n", "<p>" + "x" * 200), (1, "http://a", "<p>" + "x" * 200)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
