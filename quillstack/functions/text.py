@@ -43,23 +43,37 @@ def letter_words(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> dict[str, Column]:
-    """Characters by class: letters by script size, digits, spaces, punctuation, the rest."""
-    n = lambda p: F.coalesce(F.length(F.regexp_replace(text, f"[^{p}]", "")), F.lit(0))
-    return {"latin": n("A-Za-z"), "letters": n(r"\p{L}"), "digits": n(r"\p{Nd}"), "spaces": n(r"\s"), "marks": n(r"\p{P}")}
+    """Characters by eight classes, each of which counts in one: line breaks, other white space, digits,
+    letters by the bytes that they take in UTF-8 (one, two, three or four), and the rest."""
+    n = lambda p: F.coalesce(F.length(text) - F.length(F.regexp_replace(text, p, "")), F.lit(0))
+    wide = lambda low, high: n(rf"[\p{{L}}&&[\x{{{low:X}}}-\x{{{high:X}}}]]")
+    own = {
+        "breaks": n(r"[\n\r]"),
+        "spaces": n(r"[\s&&[^\n\r]]"),
+        "digits": n(r"\p{Nd}"),
+        "letters1": wide(0, 0x7F),
+        "letters2": wide(0x80, 0x7FF),
+        "letters3": wide(0x800, 0xFFFF),
+        "letters4": wide(0x10000, 0x10FFFF),
+    }
+    rest = F.coalesce(F.length(text), F.lit(0))
+    for c in own.values():
+        rest = rest - c
+    return own | {"rest": rest}
 
 
 def phrases(text: Column, most: int = 40, letters: int = 12, words: int = 3) -> Column:
     """Sentences of each line without bullets, cut after `most` words, of enough letters and words."""
     lines = F.split(text, r"\n|(?<=[.!?…])\s+")
-    clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[\s•*\-–—\d.)]+", "")))
+    clean = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\s\-*•·+>]+|\s+$", ""))
     tokens = F.transform(clean, lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     cut = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(t) / F.lit(most)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice(t, i * most + 1, most), " "))))
     return F.filter(cut, lambda p: (F.length(F.regexp_replace(p, r"[^\p{L}]", "")) >= letters) & (F.size(F.split(p, " ")) >= words))
 
 
 def paragraphs(text: Column, least: int = 200) -> Column:
-    """Lines with a letter, joined until `least` characters; a short rest joins the last."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(r"\p{L}"))
+    """Lines with a letter, without white space at their ends, joined until `least` characters; a short rest joins the last."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike(r"\p{L}"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("rest"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -162,4 +176,4 @@ def snippet(text: Column, term: str, width: int = 220) -> Column:
     at = F.greatest(F.locate(term.lower(), F.lower(text)) - width // 3, F.lit(1))
     raw = F.substring(text, at, F.lit(width))
     head = F.when(at > 1, F.concat(F.lit("…"), F.regexp_replace(raw, r"^\S*\s+", ""))).otherwise(raw)
-    return F.when(F.length(text) >= at + width, F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…"))).otherwise(head)
+    return F.when(F.length(text) >= at + width, F.concat(F.regexp_replace(head, r"\s+\S*\z", ""), F.lit("…"))).otherwise(head)

@@ -13,20 +13,23 @@ from ..session import shared_folder
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, ancestor, depth): every ancestor of every node at its least depth.
 
-    Each round joins only the pairs that are new, so that rounds are as many as the deepest chain is
-    long; the edges of a hierarchy are a dimension, and what grows is written between rounds.
+    Each round joins only the pairs that the last one found with the edges, once each, and leaves out
+    those that are known, so that rounds are as many as the longest shortest way up and neither
+    parallel ways nor circles multiply work. A node in a circle is an ancestor of itself. New pairs
+    are written between rounds.
     """
-    spark = edges.sparkSession
-    own = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
-    own.createOrReplaceTempView("__quill_edges")
-    return spark.sql("""
-        with recursive up(node, ancestor, depth) as (
-            select node, ancestor, 1 from __quill_edges
-            union all
-            select up.node, e.ancestor, up.depth + 1 from up join __quill_edges e on up.ancestor = e.node
-        )
-        select node, ancestor, min(depth) as depth from up group by node, ancestor
-    """)
+    shared_folder(edges.sparkSession)
+    own = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct().checkpoint()
+    up = own.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
+    known = new = own.withColumn("depth", F.lit(1))
+    depth = 1
+    while True:
+        depth += 1
+        found = new.select("node", "ancestor").join(up, "ancestor").select("node", F.col("above").alias("ancestor")).distinct()
+        new = found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if not new.limit(1).count():
+            return known
+        known = known.unionByName(new)
 
 
 def expand_answers(said: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -63,34 +66,48 @@ def redundant_edges(edges: DataFrame, ancestors: DataFrame) -> DataFrame:
     return edges.join(other, "child").where("parent <> via").join(ancestors, (F.col("via") == F.col("node")) & (F.col("parent") == F.col("ancestor"))).select("child", "parent").distinct()
 
 
-def meeting_points(ancestors: DataFrame) -> DataFrame:
-    """(a, b, meeting, reach): the common ancestor at the least of the greater of both depths."""
-    own = ancestors.select(F.col("node").alias("a"), F.col("ancestor").alias("m"), F.col("depth").alias("da"))
-    other = ancestors.select(F.col("node").alias("b"), F.col("ancestor").alias("m"), F.col("depth").alias("db"))
-    both = own.join(other, "m").where("a < b")
-    return both.groupBy("a", "b").agg(F.min(F.struct(F.greatest("da", "db").alias("reach"), (F.col("da") + F.col("db")).alias("sum"), F.col("m"))).alias("best")).select("a", "b", F.col("best.m").alias("meeting"), F.col("best.reach").alias("reach"))
+def meeting_points(edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(node, a, b, meeting, reach): where each two parents of a node meet, at the least of the greater of both ways up.
+
+    A parent may itself be the meeting point. Pairs are those of one node's parents.
+    """
+    several = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child").alias("node"))
+    direct = edges.select(F.col("child").alias("node"), F.col("parent").alias("via")).join(several, "node")
+    up = direct.join(ancestors.select(F.col("node").alias("via"), F.col("ancestor").alias("m"), "depth"), "via").select("node", "via", "m", "depth")
+    own = direct.select("node", "via", F.col("via").alias("m"), F.lit(0).alias("depth")).unionByName(up)
+    a, b = own.select("node", "m", F.col("via").alias("a"), F.col("depth").alias("da")), own.select("node", "m", F.col("via").alias("b"), F.col("depth").alias("db"))
+    best = F.min(F.struct(F.greatest("da", "db").alias("reach"), (F.col("da") + F.col("db")).alias("sum"), F.col("m")))
+    return a.join(b, ["node", "m"]).where("a < b").groupBy("node", "a", "b").agg(best.alias("best")).select("node", "a", "b", F.col("best.m").alias("meeting"), F.col("best.reach").alias("reach"))
 
 
-def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) with the smallest node of each component, by least labels and pointer jumps.
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) with the smallest node of each component, by alternating large and small stars.
 
-    Labels are checkpointed each round, so that the plan stays short and a lost executor costs one round.
+    Rounds go on until every node hangs on one root. Links are checkpointed each round and shrink as
+    they turn into stars; a hub's links meet only in partial minima and in joins that can be split.
+    A pair of a node with itself makes it a component of its own; null ends are left out.
     """
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c"))
     shared_folder(pairs.sparkSession)
-    labels = labels.checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        low = labels.join(near, "u").select("u", F.least("c", "m").alias("c"))
-        jumped = low.join(low.select(F.col("u").alias("c"), F.col("c").alias("top")), "c", "left").select("u", F.least("c", "top").alias("c"))
-        after = jumped.checkpoint()
-        moved = after.join(labels.withColumnRenamed("c", "was"), "u").where("c <> was").limit(1).count()
-        labels = after
-        if not moved:
+    every = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    links = every.where("u <> v").distinct().checkpoint()
+
+    def step(e: DataFrame, large: bool) -> DataFrame:
+        near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
+        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = near.join(low, "u").where("v > u" if large else "true").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if not large:
+            out = out.unionByName(low.select("u", F.col("m").alias("v")))
+        return out.where("u <> v").distinct()
+
+    while True:
+        roots = links.select(F.col("v").alias("u")).distinct()
+        loose = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").unionByName(links.select("u").join(roots, "u", "left_semi"))
+        if not loose.limit(1).count():
             break
-    return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        links = step(step(links, True), False).checkpoint()
+    stars = links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    alone = every.where("u = v").select(F.col("u").alias("node")).distinct().join(stars.select("node"), "node", "left_anti")
+    return stars.unionByName(alone.withColumn("component", F.col("node")))
 
 
 def merged_into(merges: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs, parquet as pq
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import shared_folder
+
 #: Rows that a fit on the driver reads at most; chosen by hash of the key.
 SAMPLE = 20_000
+#: Labelled rows that ranking models, curves of one or two weights, and models of values are fitted on, at most.
+RANKED_ROWS, CURVE_ROWS, VALUE_ROWS = 400, 2000, 1000
 
 
 def bounded(df: DataFrame, key: str, most: int = SAMPLE) -> pd.DataFrame:
@@ -287,30 +293,42 @@ def scored(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray],
     return df.select(key, features).mapInPandas(task, f"{key} long, {out} double")
 
 
-def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int) -> DataFrame:
-    """(asked, near, cosine, place): the k nearest others of each asked row.
+#: Asked rows that a task holds against a batch at once.
+ASKED_BLOCK = 2048
+
+
+def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digits: int = 15) -> DataFrame:
+    """(asked, near, cosine, place): the k nearest others of each asked row; equal at so many digits: the smaller key.
 
-    asked is a stated set of queries that is checked to be small and goes to every task in one block;
-    each task keeps k a query, so that what is ranked in the end is k a query and task.
+    asked is a stated set of queries. It is written to the shared folder, and every task reads it in
+    blocks; a task keeps k a query and batch, so that what is ranked in the end is k a query and batch.
     """
-    rows = asked.select(key, vector).limit(SAMPLE + 1).toPandas()
-    if len(rows) > SAMPLE:
-        raise ValueError("ask in blocks of at most SAMPLE rows")
-    q = np.stack(rows[vector].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    ids = rows[key].to_numpy()
+    root = f"{shared_folder(df.sparkSession)}/asked-{uuid.uuid4().hex}"
+    asked.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null").write.parquet(root)
+
+    def blocks():  # noqa: ANN202
+        store, base = fs.FileSystem.from_uri(root)
+        for x in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda x: x.path):
+            if x.base_name.endswith(".parquet"):
+                for batch in pq.ParquetFile(store.open_input_file(x.path)).iter_batches(ASKED_BLOCK):
+                    if batch.num_rows:
+                        q = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                        yield batch.column(0).to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
     def task(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            if not len(b) or not len(ids):
+            if not len(b):
                 continue
+            b = b.sort_values(key)
             x = np.stack(b[vector].to_numpy()).astype(float)
-            s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             near = b[key].to_numpy()
-            s[ids[:, None] == near[None, :]] = -2
-            at = np.argsort(-s, 1, kind="stable")[:, :k]
-            out = pd.DataFrame({"asked": np.repeat(ids, at.shape[1]), "near": near[at].ravel(), "cosine": np.take_along_axis(s, at, 1).ravel()})
-            yield out[out.cosine > -2]
+            for ids, q in blocks():
+                s = np.round(q @ x.T, digits)
+                s[ids[:, None] == near[None, :]] = -2
+                at = np.argsort(-s, 1, kind="stable")[:, :k]
+                out = pd.DataFrame({"asked": np.repeat(ids, at.shape[1]), "near": near[at].ravel(), "cosine": np.take_along_axis(s, at, 1).ravel()})
+                yield out[out.cosine > -2]
 
     found = df.select(key, vector).mapInPandas(task, "asked long, near long, cosine double")
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("cosine"), "near"))

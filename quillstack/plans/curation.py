@@ -25,18 +25,20 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"with recursive {EDGES}, walk(node, at_, path) as (select child, parent, child || '>' || parent from edge where child = 'N0' union all select walk.node, e.parent, walk.path || '>' || e.parent from walk join edge e on walk.at_ = e.child) select path from walk")
+@query(f"with recursive {EDGES}, walk(node, at_, path) as (select child, parent, child || '>' || parent from edge where child = 'S0' union all select walk.node, e.parent, walk.path || '>' || e.parent from walk join edge e on walk.at_ = e.child) select path from walk")
 def upward_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every way up from one value, with the values on it."""
     Catalogue(spark, d).words_edges().createOrReplaceTempView("__quill_walk")
-    return spark.sql("""with recursive walk(at_, path) as (select parent, concat(child, '>', parent) from __quill_walk where child = 'N0'
+    return spark.sql("""with recursive walk(at_, path) as (select parent, concat(child, '>', parent) from __quill_walk where child = 'S0'
         union all select e.parent, concat(walk.path, '>', e.parent) from walk join __quill_walk e on walk.at_ = e.child) select path from walk""")
 
 
-@query(f"with recursive {EDGES} select sha256(string_agg(node || '<' || ancestor, ',' order by node, ancestor)) as signature from closed")
+@query(f"with recursive {EDGES} select sum(('0x' || left(md5(node || '<' || ancestor), 8))::bigint)::bigint as signature, count(*) as pairs from closed")
 def closure_signature(spark: SparkSession, d: str) -> DataFrame:
+    """A print of a hierarchy's closure that doesn't depend on its order, so that it sums up before any shuffle."""
     closed = graph.closure(Catalogue(spark, d).words_edges())
-    return closed.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("node", F.lit("<"), "ancestor"))), ","), 256).alias("signature"))
+    part = F.conv(F.substring(F.md5(F.concat("node", F.lit("<"), "ancestor")), 1, 8), 16, 10).cast("long")
+    return closed.agg(F.sum(part).alias("signature"), F.count("*").alias("pairs"))
 
 
 @query(f"with recursive {EDGES}, n as (select distinct node as n from closed union select distinct ancestor from closed) select n as node, coalesce(max(depth), 0)::int as level from n left join closed on n = node group by n")
@@ -163,12 +165,13 @@ def rocchio_shift(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("place").agg(F.round(F.sum(weight * F.col("x").cast("double")), 5).alias("x"))
 
 
-@query("with p as (select a.label as label, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as likeness from embeddings a, embeddings b where a.vec_id < 100 and b.vec_id < 5 and a.vec_id <> b.vec_id group by 1) select label, round(likeness, 5) as likeness from p")
+@query("with p as (select a.label as label, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as likeness from embeddings a, embeddings b where b.vec_id < 5 and a.vec_id <> b.vec_id group by 1) select label, round(likeness, 5) as likeness from p")
 def similar_tags(spark: SparkSession, d: str) -> DataFrame:
     """The best cosine of each group to a few marks."""
-    own = Catalogue(spark, d).vectors().where("vec_id < 100")
-    near = models.nearest(own, "vec_id", "embedding", own.where("vec_id < 5"), 100)
-    return near.join(own.select(F.col("vec_id").alias("near"), "label"), "near").groupBy("label").agg(F.round(F.max("cosine"), 5).alias("likeness"))
+    own = Catalogue(spark, d).vectors()
+    marks = own.where("vec_id < 5").select(F.col("vec_id").alias("mark"), F.col("embedding").alias("m"))
+    best = own.join(F.broadcast(marks), F.col("vec_id") != F.col("mark")).groupBy("label").agg(F.max(nm.cosine(F.col("embedding"), F.col("m"))).alias("likeness"))
+    return best.select("label", F.round("likeness", 5).alias("likeness"))
 
 
 @query("with m as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity < 3) select a as author, count(*) as works, min(b) as first from m group by 1 having count(*) >= 2")
@@ -200,7 +203,7 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
 def bilinear_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Chance of each type by vectors of items: a model of low rank, fitted by quasi-Newton steps on a bounded sample."""
     own = Catalogue(spark, d).vectors().select("vec_id", "embedding", "label")
-    sample = models.bounded(own, "vec_id", 1000)
+    sample = models.bounded(own, "vec_id", models.VALUE_ROWS)
     x = np.stack(sample.embedding.to_numpy()).astype(float)
     values = np.unique(sample.label)
     y = (sample.label.to_numpy()[:, None] == values[None, :]).astype(float)
@@ -229,4 +232,4 @@ def words_per_character(spark: SparkSession, d: str) -> DataFrame:
     shared_folder(spark)
     own = own.checkpoint()
     weight = models.least_absolute_of_all(own, "x", len(classes), "n", 20)
-    return models.scored(own, "doc_id", "x", lambda v: v @ weight, "words")
+    return own.select("doc_id", nm.weighed("x", weight).alias("words"))

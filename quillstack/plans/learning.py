@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import numbers as nm, text as tx
 from ..operators import models
 from ..sources.catalogue import Catalogue
-from .lists import ITEMS, ROWS, rows
+from .lists import ITEMS, ROWS, THREE, rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:
     """Concordance of each penalty in five folds by work; folds and penalties are fitted in parallel on the bounded sample."""
-    sample = models.bounded(_features(spark, d).where("grade is not null"), "item_id", 400)
+    sample = models.bounded(_features(spark, d).where("grade is not null"), "item_id", models.RANKED_ROWS)
     task = spark.createDataFrame(sample.assign(fold=sample.work % 5))
     grid = task.crossJoin(spark.createDataFrame([(k, c) for k in range(5) for c in (0.01, 0.1, 1.0)], "held int, c double"))
 
@@ -60,19 +60,17 @@ def scorer_choice(spark: SparkSession, d: str) -> DataFrame:
     return by.crossJoin(F.broadcast(best)).where("m >= least").agg(F.min("c").alias("c"))
 
 
-@query(f"""with {ROWS}, g as (select item_id, grade, size / 50 as a, price / 1000 as b from rows_ where grade is not null), q as (select item_id, size / 50 as a, price / 1000 as b from rows_ where item_id % 40 = 0),
+@query(f"""with {ROWS}, g as (select item_id, grade, size / 50 as a, price / 1000 as b from rows_ where grade is not null), q as (select item_id, size / 50 as a, price / 1000 as b from rows_ where item_id % 50 = 0),
 n as (select q.item_id, g.grade, greatest((q.a * g.a + q.b * g.b) / (sqrt(q.a * q.a + q.b * q.b) * sqrt(g.a * g.a + g.b * g.b)), 0) + 1e-6 as w, row_number() over (partition by q.item_id order by round((q.a * g.a + q.b * g.b) / (sqrt(q.a * q.a + q.b * q.b) * sqrt(g.a * g.a + g.b * g.b)), 9) desc, g.item_id) as k from q join g on q.item_id <> g.item_id)
 select item_id, round(sum(w * grade) / sum(w), 4) as score from n where k <= 20 group by 1""")
 def knn_scorer(spark: SparkSession, d: str) -> DataFrame:
-    """The mean grade of the twenty nearest graded items, by closeness; graded items are the small side."""
-    own = rows(spark, d).select("item_id", "grade", (F.col("size") / 50).alias("a"), (F.col("price") / 1000).alias("b"))
-    g = own.where("grade is not null").select(F.col("item_id").alias("near"), "grade", F.col("a").alias("ga"), F.col("b").alias("gb"))
-    q = own.where("item_id % 40 = 0").select("item_id", "a", "b")
-    cos = (F.col("a") * F.col("ga") + F.col("b") * F.col("gb")) / (F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) * F.sqrt(F.col("ga") * F.col("ga") + F.col("gb") * F.col("gb")))
-    both = q.join(g, F.col("item_id") != F.col("near")).withColumn("c", cos)
-    k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("c", 9)), "near"))
-    w = F.greatest("c", F.lit(0.0)) + 1e-6
-    return both.withColumn("k", k).where("k <= 20").groupBy("item_id").agg(F.round(F.sum(w * F.col("grade")) / F.sum(w), 4).alias("score"))
+    """The mean grade of the twenty nearest graded items, by closeness, for the items asked about; in blocks of those."""
+    own = rows(spark, d).select("item_id", "grade", F.array(F.col("size") / 50, F.col("price") / 1000).alias("v"))
+    graded = own.where("grade is not null")
+    near = models.nearest(graded, "item_id", "v", own.where("item_id % 50 = 0"), 20, digits=9)
+    w = F.greatest("cosine", F.lit(0.0)) + 1e-6
+    both = near.join(graded.select(F.col("item_id").alias("near"), "grade"), "near")
+    return both.groupBy(F.col("asked").alias("item_id")).agg(F.round(F.sum(w * F.col("grade")) / F.sum(w), 4).alias("score"))
 
 
 @query(f"""with {ROWS}, knot as (select floor(chance * 5) / 5 as x, avg((coalesce(grade, 0) >= 4)::int) as y from rows_ where chance is not null group by 1),
@@ -131,7 +129,7 @@ def query_shift(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(SHIFT_STEPS):
         z = ((v[a] + shift) * (v[p] - v[n])).sum(1) / 0.05 if len(a) else np.zeros(0)
         shift += 0.02 * (((v[p] - v[n]) * models.sigmoid(-z)[:, None]).mean(0) - 0.01 * shift) if len(a) else 0
-    return models.scored(own, "vec_id", "embedding", lambda x: (x + shift) @ (v[0]), "closeness")
+    return own.select("vec_id", (nm.weighed("embedding", v[0]) + float(shift @ v[0])).alias("closeness"))
 
 
 @query(f"with {ITEMS}, n(name) as (values ('red widget'), ('small ring'), ('ring'), ('blue')), f as (select item_id, name, row_number() over (partition by item_id order by length(name) desc) as k from items join n on contains(' ' || title || ' ', ' ' || name || ' ')) select item_id, name from f where k = 1")
@@ -158,16 +156,21 @@ def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     return had.crossJoin(F.broadcast(totals)).select("value", weight.alias("weight"), "label")
 
 
-@query()
+ASKED = ["the", "that", "with", "and", "der", "und"]
+
+
+@query(f"""with t as (select doc_id, sha1(text) as print, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from documents), s as (select doc_id, print, len(list_filter(w, lambda x: x in ({", ".join(repr(x) for x in ASKED)}))) / {len(ASKED)}.0 as score from t),
+k as (select print, round(any_value(score), 2) as kept from s where doc_id % 3 = 0 group by 1) select doc_id, round(coalesce(kept, score), 6) as score, kept is not null as cached from s left join k using (print)""".replace("\\\\", "\\"))
 def rerank_cached(spark: SparkSession, d: str) -> DataFrame:
-    """Scores kept by the print of a text; only texts without one are scored."""
-    own = Catalogue(spark, d).documents().select("doc_id", tx.text_key(F.col("text")).alias("print"), "text")
-    kept = own.where("doc_id % 3 = 0").select("print", F.lit(0.5).alias("kept")).distinct()
-    new = own.join(kept, "print", "left_anti").select("doc_id", (tx.word_count(F.col("text")) / 1000).cast("double").alias("score"))
-    return own.join(kept, "print").select("doc_id", F.col("kept").alias("score")).unionByName(new)
+    """The share of a line's words that a text has. Scores are kept, at two digits, by the print of the text, and only texts without one are scored."""
+    own = Catalogue(spark, d).documents().select("doc_id", F.sha1("text").alias("print"), "text")
+    score = F.size(F.array_intersect(F.array_distinct(tx.letter_words(F.lower("text"))), F.array(*map(F.lit, ASKED)))) / F.lit(float(len(ASKED)))
+    kept = own.where("doc_id % 3 = 0").dropDuplicates(["print"]).select("print", F.round(score, 2).alias("kept"))
+    new = own.join(kept, "print", "left_anti").select("doc_id", F.round(score, 6).alias("score"), F.lit(False).alias("cached"))
+    return own.join(kept, "print").select("doc_id", F.round("kept", 6).alias("score"), F.lit(True).alias("cached")).unionByName(new)
 
 
-@query()
+@query(f"""with {ROWS}, k as (select item_id, score, score * case when item_id % 4 = 0 then 1.01 else 1.0 end as new_ from rows_ where score is not null) select item_id, {THREE('new_')} as score from k where {THREE('score')} <> {THREE('new_')}""")
 def sweep_changes(spark: SparkSession, d: str) -> DataFrame:
     """Predictions that differ from those kept at three digits, and so are written."""
     own = rows(spark, d).where("score is not null").select("item_id", "score", (F.col("score") * F.when(F.col("item_id") % 4 == 0, 1.01).otherwise(1.0)).alias("new"))

@@ -21,7 +21,7 @@ PREDICTIONS = """predictions as (
            sum((l_returnflag <> 'R')::int)::double / count(*) as chance from lineitem group by 1)"""
 ROWS = f"""{ITEMS}, {RATINGS}, {PREDICTIONS}, latest as (
     select item_id, grade, rated_at from (select *, row_number() over (partition by item_id order by rated_at desc, rating_id desc, version desc) as k
-    from ratings where item_id % 3 = 0) where k = 1), rows_ as (
+    from ratings where version = 7) where k = 1), rows_ as (
     select i.*, p.score, p.chance, g.grade, g.rated_at,
            case when p.chance is null then p.score else greatest(p.score, 0) * p.chance end as expected
     from items i left join predictions p using (item_id) left join latest g using (item_id))"""
@@ -141,12 +141,19 @@ def join_current_version_rating(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {RATINGS} select a.item_id, a.rating_id, a.version, arg_max(b.grade, (epoch_us(b.rated_at)::hugeint * 1000000000 + b.rating_id) * 10 + b.version)::int as previous
-from ratings a join ratings b on a.item_id = b.item_id and b.version <> a.version and b.rated_at < a.rated_at where a.item_id % 11 = 0 group by 1, 2, 3""")
+from ratings a join ratings b on a.item_id = b.item_id and b.version <> a.version and b.rated_at < a.rated_at group by 1, 2, 3""")
 def previous_grade_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """For each rating the latest earlier one of another version of the item."""
-    own = Catalogue(spark, d).ratings().where(F.col("item_id") % 11 == 0)
-    b = own.select("item_id", F.col("version").alias("bv"), F.col("grade").alias("bg"), F.col("rated_at").alias("bt"), F.col("rating_id").alias("bi"))
-    return own.join(b, "item_id").where("bv <> version and bt < rated_at").groupBy("item_id", "rating_id", "version").agg(F.max_by("bg", F.struct("bt", "bi", "bv")).alias("previous"))
+    """For each rating the latest earlier one of another version of the item, in one pass over each item's ratings."""
+    own = Catalogue(spark, d).ratings().withColumn("at", F.unix_micros(F.col("rated_at").cast("timestamp")))
+    line = Window.partitionBy("item_id").orderBy("at", "rating_id", "version")
+    # of each row the last before its run of equal versions: what stands for it if the newest earlier row has the asked version
+    whole = F.struct("at", "rating_id", "version", "grade")
+    own = own.withColumn("was", F.lag(whole).over(line)).withColumn("other", F.when(F.col("was.version") != F.col("version"), F.col("was")))
+    own = own.withColumn("other", F.last("other", True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("item_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("e", F.max(F.struct(whole.alias("row"), "other")).over(earlier))
+    previous = F.when(F.col("e.row.version") != F.col("version"), F.col("e.row")).otherwise(F.col("e.other"))
+    return own.select("item_id", "rating_id", "version", previous.alias("p")).where("p is not null").groupBy("item_id", "rating_id", "version").agg(F.max("p").alias("p")).select("item_id", "rating_id", "version", F.col("p.grade").alias("previous"))
 
 
 @query(f"""with {RATINGS}, k as (select *, row_number() over (partition by item_id order by rated_at desc, rating_id desc, version desc) as k from ratings where version <> 1 + item_id % 7)
@@ -300,14 +307,15 @@ def mean_of_last_three(spark: SparkSession, d: str) -> DataFrame:
 
 # --- graphs ---
 
-EDGES = """edge(child, parent) as (values ('N0','R0'),('N0','R1'),('N1','R1'),('N2','R2'),('N3','R2'),('R0','W'),('R1','W'),('R2','W'),('N0','W')),
-up(node, ancestor, depth) as (select child, parent, 1 from edge union all select up.node, e.parent, up.depth + 1 from up join edge e on up.ancestor = e.child),
+EDGES = """edge(child, parent) as (select 'S' || s_suppkey, 'N' || s_nationkey from supplier union select 'S' || s_suppkey, 'R' || s_suppkey % 5 from supplier
+    union select 'N' || n_nationkey, 'R' || n_regionkey from nation union select 'R' || r_regionkey, 'W' from region),
+up(node, ancestor, depth) as (select child, parent, 1 from edge union select up.node, e.parent, up.depth + 1 from up join edge e on up.ancestor = e.child),
 closed as (select node, ancestor, min(depth) as depth from up group by 1, 2)"""
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with the tag of their nation, four of them."""
-    return Catalogue(spark, d).table("customer").where("c_nationkey < 4").select(F.col("c_custkey").alias("item"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("value"))
+    """Customers with the tag of their nation."""
+    return Catalogue(spark, d).table("customer").select(F.col("c_custkey").alias("item"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("value"))
 
 
 @query(f"with recursive {EDGES} select node, ancestor, depth from closed")
@@ -315,7 +323,7 @@ def hierarchy_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(Catalogue(spark, d).words_edges())
 
 
-@query(f"""with recursive {EDGES}, tagged as (select c_custkey as item, 'N' || c_nationkey as value from customer where c_nationkey < 4),
+@query(f"""with recursive {EDGES}, tagged as (select c_custkey as item, 'N' || c_nationkey as value from customer),
 every as (select item, value from tagged union select item, ancestor from tagged join closed on value = node)
 select item, value from every where not (item % 2 = 0 and value = 'R1')""")
 def close_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -324,7 +332,7 @@ def close_tags(spark: SparkSession, d: str) -> DataFrame:
     return graph.close_values(own, graph.closure(Catalogue(spark, d).words_edges()), rejected)
 
 
-@query(f"""with recursive {EDGES}, tagged as (select c_custkey as item, 'N' || c_nationkey as value from customer where c_nationkey < 4),
+@query(f"""with recursive {EDGES}, tagged as (select c_custkey as item, 'N' || c_nationkey as value from customer),
 no as (select distinct item, 'R1' as value from tagged where item % 3 = 0),
 every as (select item, value, 2 as r, true as added from tagged union all select item, ancestor, 1, true from tagged join closed on value = node
 union all select item, value, 4, false from no union all select item, node, 3, false from no join closed on value = ancestor)
@@ -341,32 +349,34 @@ def redundant_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.redundant_edges(edges, graph.closure(edges))
 
 
-@query(f"""with recursive {EDGES}, both_ as (select x.node as a, y.node as b, x.ancestor as m, greatest(x.depth, y.depth) as reach, x.depth + y.depth as s from closed x join closed y on x.ancestor = y.ancestor and x.node < y.node)
-select a, b, m as meeting, reach from (select *, row_number() over (partition by a, b order by reach, s, m) as k from both_) where k = 1""")
+@query(f"""with recursive {EDGES}, par as (select child, parent, count(*) over (partition by child) as n from edge), own as (select child as node, parent as via, parent as m, 0 as depth from par where n > 1 union all select child, parent, c.ancestor, c.depth from par join closed c on c.node = par.parent where n > 1),
+both_ as (select x.node, x.via as a, y.via as b, x.m, greatest(x.depth, y.depth) as reach, x.depth + y.depth as s from own x join own y on x.node = y.node and x.m = y.m and x.via < y.via)
+select node, a, b, m as meeting, reach from (select *, row_number() over (partition by node, a, b order by reach, s, m) as k from both_) where k = 1""")
 def meeting_point(spark: SparkSession, d: str) -> DataFrame:
-    return graph.meeting_points(graph.closure(Catalogue(spark, d).words_edges()))
-
-
-LINKS = """pair as (select distinct l_orderkey as a, 1000000 + l_partkey as b from lineitem where l_orderkey % 9 = 0 and l_quantity < 8),
-both_ as (select a as u, b as v from pair union select b, a from pair),
-reach(u, v) as (select u, u from both_ union select r.u, b.v from reach r join both_ b on r.v = b.u)"""
+    edges = Catalogue(spark, d).words_edges()
+    return graph.meeting_points(edges, graph.closure(edges))
 
 
-@query(f"with recursive {LINKS} select u as node, min(v) as component from reach group by u")
+@query()
 def components_of_pairs(spark: SparkSession, d: str) -> DataFrame:
-    own = Catalogue(spark, d).table("lineitem").where("l_orderkey % 9 = 0 and l_quantity < 8")
-    return graph.components(own.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct())
+    """Orders and parts that lines tie together, all of them; recursive SQL would list every pair of a component."""
+    own = Catalogue(spark, d).table("lineitem")
+    return graph.components(own.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
 
-@query(f"with recursive {LINKS} select component, count(*) as members from (select u, min(v) as component from reach group by u) group by component")
+@query()
 def series_components(spark: SparkSession, d: str) -> DataFrame:
     return components_of_pairs(spark, d).groupBy("component").agg(F.count("*").alias("members"))
 
 
-@query("""with recursive m(gone, into_) as (values ('a','b'),('b','c'),('d','c'),('e','f')), up(node, anc, depth) as (select gone, into_, 1 from m union all select up.node, m.into_, depth + 1 from up join m on up.anc = m.gone)
+@query("""with recursive m(gone, into_) as (select p_partkey, p_partkey - 1 - p_partkey % 3 from part where p_partkey % 50 <> 0 and p_partkey - 1 - p_partkey % 3 >= p_partkey // 50 * 50),
+up(node, anc, depth) as (select gone, into_, 1 from m union all select up.node, m.into_, depth + 1 from up join m on up.anc = m.gone)
 select node as gone, arg_max(anc, depth) as "into" from up group by node""")
 def merge_chains(spark: SparkSession, d: str) -> DataFrame:
-    return graph.merged_into(spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("e", "f")], "gone string, into string"))
+    """Parts merged into earlier ones of their fifty, step by step: where each chain ends."""
+    into = F.col("p_partkey") - 1 - F.col("p_partkey") % 3
+    merges = Catalogue(spark, d).table("part").select(F.col("p_partkey").alias("gone"), into.alias("into")).where("gone % 50 <> 0 and into >= floor(gone / 50) * 50")
+    return graph.merged_into(merges)
 
 
 @query()

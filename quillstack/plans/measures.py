@@ -59,11 +59,11 @@ def group_mean_vector(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
-@query("with v as (select label, generate_subscripts(embedding, 1) as k, unnest(embedding)::double as x from embeddings) select label, k - 1 as place, round(quantile_cont(x, 0.05), 5) as q05, round(quantile_cont(x, 0.5), 5) as q50, round(quantile_cont(x, 0.95), 5) as q95 from v where k <= 8 group by 1, 2")
+@query("with v as (select label, generate_subscripts(embedding, 1) as k, unnest(embedding)::double as x from embeddings) select label, k - 1 as place, round(quantile_cont(x, 0.05), 5) as q05, round(quantile_cont(x, 0.5), 5) as q50, round(quantile_cont(x, 0.95), 5) as q95 from v group by 1, 2")
 def set_quantile_embedding(spark: SparkSession, d: str) -> DataFrame:
-    own = Catalogue(spark, d).vectors().select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("place", "x"))
-    q = own.groupBy("label", "place").agg(F.percentile(F.col("x").cast("double"), F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("q"))
-    return q.select("label", "place", *(F.round(F.col("q")[i], 5).alias(n) for i, n in enumerate(("q05", "q50", "q95"))))
+    own = Catalogue(spark, d).vectors().select("label", F.posexplode("embedding").alias("place", "x"))
+    q = nm.quantiles(own, ["label", "place"], F.col("x"), (0.05, 0.5, 0.95))
+    return q.select("label", "place", *(F.round(F.col(f"q{i}"), 5).alias(n) for i, n in enumerate(("q05", "q50", "q95"))))
 
 
 @query(f"with {ITEMS} select work, round(avg(price), 4) as mean_price, max(size) as top_size, round((min(size) + max(size)) / 2, 4) as agreed_size from items group by work")
@@ -147,11 +147,17 @@ def folds_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("item_id", ((F.col("k") - 1 + F.col("before")) % 5).cast("int").alias("fold"))
 
 
-@query(f"with {RATINGS} select a.grade as better, b.grade as worse, count(*) as pairs from (select distinct work, grade from ratings where item_id < 60) a join (select distinct work, grade from ratings where item_id < 60) b on a.grade > b.grade and a.work <> b.work group by 1, 2")
+@query(f"with {RATINGS} select a.grade as better, b.grade as worse, count(*) as pairs from (select distinct work, grade from ratings) a join (select distinct work, grade from ratings) b on a.grade > b.grade and a.work <> b.work group by 1, 2")
 def pairs_theta_by_grade(spark: SparkSession, d: str) -> DataFrame:
-    own = Catalogue(spark, d).ratings().where("item_id < 60").select("work", "grade").distinct()
-    other = own.select(F.col("work").alias("w"), F.col("grade").alias("worse"))
-    return own.join(other, (F.col("grade") > F.col("worse")) & (F.col("work") != F.col("w"))).groupBy(F.col("grade").alias("better"), "worse").agg(F.count("*").alias("pairs"))
+    """Pairs of works by their two grades: products of counts, less the pairs inside a work, so that none is made."""
+    own = Catalogue(spark, d).ratings().select("work", "grade").distinct()
+    n = own.groupBy("grade").agg(F.count("*").alias("n"))
+    inside = own.groupBy("work").agg(F.array_sort(F.collect_set("grade")).alias("g"))
+    both = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: y < x), lambda y: F.struct(x.alias("better"), y.alias("worse")))))
+    same = inside.select(F.explode(both).alias("p")).groupBy("p.better", "p.worse").agg(F.count("*").alias("same"))
+    steps = n.select(F.col("grade").alias("better"), F.col("n").alias("a")).join(n.select(F.col("grade").alias("worse"), F.col("n").alias("b")), F.col("better") > F.col("worse"))
+    pairs = F.col("a") * F.col("b") - F.coalesce("same", F.lit(0))
+    return steps.join(same, ["better", "worse"], "left").select("better", "worse", pairs.alias("pairs")).where("pairs > 0")
 
 
 # --- vectors ---
@@ -198,13 +204,14 @@ def doubt_order(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {ROWS}, k as (select item_id, score, row_number() over (order by score desc, item_id) as k, count(*) over () as n from rows_ where score is not null),
 e as (select max(score) filter (where k = least(2000, n // 2)) as lo, max(score) filter (where k = greatest(1, n // 100)) as hi from k) select item_id, round(least(greatest((score - lo) / (hi - lo), 0), 1.5), 5) as closeness from k, e where k <= 60""")
 def closeness_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Scores between that of the n/2-th and the n/100-th, from exact quantile places found by counting."""
+    """Scores between that of the n/2-th and the n/100-th, at places that are counted by ranges."""
     own = rows(spark, d).where("score is not null").select("item_id", "score")
     n = own.count()
-    top = own.orderBy(F.desc("score"), "item_id").limit(min(2000, n // 2))
-    ends = top.agg(F.min("score").alias("lo")).crossJoin(own.orderBy(F.desc("score"), "item_id").limit(max(1, n // 100)).agg(F.min("score").alias("hi")))
+    placed = nm.numbered(own, F.desc("score"), F.asc("item_id"))
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("score")))
+    ends = placed.agg(at(min(2000, n // 2)).alias("lo"), at(max(1, n // 100)).alias("hi"))
     share = (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return own.orderBy(F.desc("score"), "item_id").limit(60).crossJoin(F.broadcast(ends)).select("item_id", F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.5)), 5).alias("closeness"))
+    return placed.where("place <= 60").crossJoin(F.broadcast(ends)).select("item_id", F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.5)), 5).alias("closeness"))
 
 
 # --- suggestions ---
@@ -214,13 +221,13 @@ def closeness_normalised(spark: SparkSession, d: str) -> DataFrame:
 def bayes_counts(spark: SparkSession, d: str) -> DataFrame:
     own = Catalogue(spark, d).items().select("type", F.explode("words").alias("value")).groupBy("type", "value").agg(F.count("*").alias("n"))
     total = own.groupBy("type").agg(F.sum("n").alias("t"))
-    return own.join(F.broadcast(total), "type").select("type", "value", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return own.join(total, "type").select("type", "value", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
 @query(f"""with {ITEMS}, v as (select item_id, type, unnest(words) as w from items), n1 as (select type, count(*)::double as n from items group by 1), nt as (select count(*)::double as n from items),
 c as (select w, type, count(*)::double as n from v group by 1, 2), q as (select w, count(*)::double as n from v group by 1),
 s as (select i.item_id, t.type as value, n1.n as own, ln(n1.n / (nt.n - n1.n)) + sum(ln((coalesce(c.n, 0) - (i.type = t.type)::int + q.n / nt.n) / (n1.n - (i.type = t.type)::int + 1)) - ln((q.n - coalesce(c.n, 0) - (i.type <> t.type)::int + q.n / nt.n) / (nt.n - n1.n - (i.type <> t.type)::int + 1))) as z
-from v i cross join (select distinct type from items) t join n1 on n1.type = t.type cross join nt join q on q.w = i.w left join c on c.w = i.w and c.type = t.type where i.item_id % 20 = 0 group by i.item_id, t.type, n1.n, nt.n)
+from v i cross join (select distinct type from items) t join n1 on n1.type = t.type cross join nt join q on q.w = i.w left join c on c.w = i.w and c.type = t.type group by i.item_id, t.type, n1.n, nt.n)
 select item_id, value, round(1 / (1 + exp(-z)), 5) as chance from s""")
 def bayes_chance(spark: SparkSession, d: str) -> DataFrame:
     """Chance of each value by the item's other facet, with the item's own witness taken out of the counts."""
@@ -230,54 +237,95 @@ def bayes_chance(spark: SparkSession, d: str) -> DataFrame:
     nt = items.agg(F.count("*").cast("double").alias("nt"))
     c = v.groupBy("w", F.col("type").alias("value")).agg(F.count("*").cast("double").alias("c"))
     q = v.groupBy("w").agg(F.count("*").cast("double").alias("q"))
-    grid = q.crossJoin(F.broadcast(n1)).crossJoin(F.broadcast(nt)).join(c, ["w", "value"], "left").na.fill({"c": 0.0})
+    # one row a value and word: the counts of values hang on the word's, the total is one row
+    grid = q.join(n1, F.lit(True)).crossJoin(F.broadcast(nt)).join(c, ["w", "value"], "left").na.fill({"c": 0.0})
     own = (F.col("type") == F.col("value")).cast("int")
     mass = F.col("q") / F.col("nt")
     yes = (F.col("c") - own + mass) / (F.col("n1") - own + 1)
     no = (F.col("q") - F.col("c") - (1 - own) + mass) / (F.col("nt") - F.col("n1") - (1 - own) + 1)
-    z = v.where("item_id % 20 = 0").join(grid, "w").groupBy("item_id", "value", "n1", "nt").agg((F.ln(F.col("n1") / (F.col("nt") - F.col("n1"))) + F.sum(F.ln(yes) - F.ln(no))).alias("z"))
+    z = v.join(grid, "w").groupBy("item_id", "value", "n1", "nt").agg((F.ln(F.col("n1") / (F.col("nt") - F.col("n1"))) + F.sum(F.ln(yes) - F.ln(no))).alias("z"))
     return z.select("item_id", "value", F.round(nm.sigmoid(F.col("z")), 5).alias("chance"))
 
 
 # --- duplicates ---
 
-BLOCK = f"with {ITEMS}, k as (select item_id, source, title, size, price from items), p as (select a.item_id as a, b.item_id as b, a.title = b.title as same_title, case when a.size > 0 and b.size > 0 then least(a.size, b.size) / greatest(a.size, b.size) end as size_ratio, least(a.price, b.price) / greatest(a.price, b.price) as price_ratio from k a join k b on a.source = b.source and a.title = b.title and a.item_id < b.item_id)"
+BLOCK = f"""with {ITEMS}, p as (select item_id as b, min(item_id) over w as a, count(*) over w as n, source, title, size, price, first_value(size) over o as a_size, first_value(price) over o as a_price
+from items window w as (partition by source, title), o as (partition by source, title order by item_id)), r as (select a, b, n, source, title, case when size > 0 and a_size > 0 then least(size, a_size) / greatest(size, a_size) end as size_ratio, least(price, a_price) / greatest(price, a_price) as price_ratio from p)"""
 
 
 def _blocked(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the first of its block (same source and title), by which the block's pairs are told, and the block's size."""
     own = Catalogue(spark, d).items().select("item_id", "source", "title", "size", "price")
-    a, b = (own.select("source", "title", *(F.col(c).alias(f"{c}_{s}") for c in ("item_id", "size", "price"))) for s in "ab")
-    both = a.join(b, ["source", "title"]).where("item_id_a < item_id_b")
-    return both.select(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b"), nm.size_ratio(F.col("size_a"), F.col("size_b")).alias("size_ratio"), nm.size_ratio(F.col("price_a"), F.col("price_b")).alias("price_ratio"))
+    first = own.groupBy("source", "title").agg(F.min("item_id").alias("a"), F.count("*").alias("n"), F.min_by("size", "item_id").alias("a_size"), F.min_by("price", "item_id").alias("a_price"))
+    both = own.join(first, ["source", "title"])
+    return both.select("a", F.col("item_id").alias("b"), "n", "source", "title", nm.size_ratio(F.col("size"), F.col("a_size")).alias("size_ratio"), nm.size_ratio(F.col("price"), F.col("a_price")).alias("price_ratio"))
 
 
-@query(f"{BLOCK} select a, b from p")
+@query(f"{BLOCK} select b as item_id, a as class_id, n - 1 as links from r")
 def blocking_same_author_title(spark: SparkSession, d: str) -> DataFrame:
-    return _blocked(spark, d).select("a", "b")
+    """One row an item: the block it lies in, and the others there; pairs are not made."""
+    return _blocked(spark, d).select(F.col("b").alias("item_id"), F.col("a").alias("class_id"), (F.col("n") - 1).alias("links"))
 
 
-@query(f"{BLOCK} select a, b, round(size_ratio, 6) as size_ratio, round(price_ratio, 6) as price_ratio, round((size_ratio + price_ratio) / 2, 6) as prior from p")
+@query(f"{BLOCK} select a, b, round(size_ratio, 6) as size_ratio, round(price_ratio, 6) as price_ratio, round((size_ratio + price_ratio) / 2, 6) as prior from r where a < b")
 def layers_of_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _blocked(spark, d).select("a", "b", F.round("size_ratio", 6).alias("size_ratio"), F.round("price_ratio", 6).alias("price_ratio"), F.round(nm.mean_of_known(F.col("size_ratio"), F.col("price_ratio")), 6).alias("prior"))
+    return _blocked(spark, d).where("a < b").select("a", "b", F.round("size_ratio", 6).alias("size_ratio"), F.round("price_ratio", 6).alias("price_ratio"), F.round(nm.mean_of_known(F.col("size_ratio"), F.col("price_ratio")), 6).alias("prior"))
 
 
-@query(f"{BLOCK}, e as (select a, b, price_ratio as r from p union all select b, a, price_ratio from p) select a as item_id, b as partner from (select *, row_number() over (partition by a order by r desc, b) as k from e) where k = 1")
+@query(f"with {ITEMS}, e as (select a.item_id as item_id, b.item_id as partner, least(a.price, b.price) / greatest(a.price, b.price) as r from items a join items b on a.source = b.source and a.title = b.title and a.item_id <> b.item_id) select item_id, partner from (select *, row_number() over (partition by item_id order by r desc, partner) as k from e) where k = 1")
 def best_partner_per_item(spark: SparkSession, d: str) -> DataFrame:
-    own = _blocked(spark, d).select("a", "b", F.col("price_ratio").alias("r"))
-    both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    return both.groupBy(F.col("a").alias("item_id")).agg(F.max_by("b", F.struct("r", -F.col("b"))).alias("partner"))
-
-
-@query(f"{BLOCK} select width_bucket_ as band, count(*) as n from (select case when price_ratio < 0.9 then 0 when price_ratio < 0.99 then 1 else 2 end as width_bucket_ from p) group by 1")
+    """The partner of nearest price in the block. In order of price it is the next lower or the next higher of another price, or one of equal price."""
+    own = Catalogue(spark, d).items().select("item_id", "source", "title", "price")
+    level = own.groupBy("source", "title", "price").agg(F.min("item_id").alias("first"), F.min_by(F.lit(1), "item_id").alias("one"), F.count("*").alias("n"))
+    w = Window.partitionBy("source", "title").orderBy("price")
+    near = level.withColumns({"lower": F.lag(F.struct("price", "first")).over(w), "higher": F.lead(F.struct("price", "first")).over(w)}).drop("one")
+    second = own.join(near.where("n > 1").select("source", "title", "price", "first"), ["source", "title", "price"]).where("item_id <> first").groupBy("source", "title", "price").agg(F.min("item_id").alias("second"))
+    both = own.join(near, ["source", "title", "price"]).join(second, ["source", "title", "price"], "left")
+    mine = F.when(F.col("item_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    equal = F.when(mine.isNotNull(), F.struct(F.lit(-1.0).alias("r"), mine.alias("partner")))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct((-F.least(F.col("price"), F.col(f"{c}.price")) / F.greatest(F.col("price"), F.col(f"{c}.price"))).alias("r"), F.col(f"{c}.first").alias("partner")))
+    return both.select("item_id", F.array_min(F.filter(F.array(equal, side("lower"), side("higher")), lambda x: x.isNotNull()))["partner"].alias("partner")).where("partner is not null")
+
+
+@query(f"{BLOCK} select band, count(*) as n from (select case when price_ratio < 0.9 then 0 when price_ratio < 0.99 then 1 else 2 end as band from r where a < b) group by 1")
 def chance_spread_bands(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("price_ratio")
-    return _blocked(spark, d).groupBy(F.when(r < 0.9, 0).when(r < 0.99, 1).otherwise(2).alias("band")).agg(F.count("*").alias("n"))
+    return _blocked(spark, d).where("a < b").groupBy(F.when(r < 0.9, 0).when(r < 0.99, 1).otherwise(2).alias("band")).agg(F.count("*").alias("n"))
+
+
+#: Sort keys of the page of pairs; the pair itself breaks ties.
+PAIR_SORTS = {
+    "likeness": "price_ratio desc",
+    "unlikeness": "price_ratio",
+    "sizes": "size_ratio desc nulls last",
+    "unlike_sizes": "size_ratio nulls last",
+    "prior": "(size_ratio + price_ratio) / 2 desc",
+    "title": "title, price_ratio desc",
+    "source": "source, price_ratio desc",
+    "crowded": "n desc, price_ratio desc",
+    "newest": "b desc",
+}
+
+
+def _order(line: str) -> list[F.Column]:
+    out = []
+    for term in line.split(", "):
+        down, last = " desc" in term, "nulls last" in term
+        c = F.expr(term.replace(" nulls last", "").replace(" desc", ""))
+        out.append((c.desc_nulls_last() if last else c.desc()) if down else c.asc_nulls_last() if last else c.asc())
+    return out
 
 
-@query(f"{BLOCK} select a, b, k from (select a, b, row_number() over (order by price_ratio desc, a, b) as k from p) where k <= 50")
+@query(BLOCK + " " + " union all ".join(f"(select '{k}' as sort, a, b, place from (select a, b, row_number() over (order by {o}, a, b) as place from r where a < b) where place <= 20)" for k, o in PAIR_SORTS.items()))
 def duplicate_page_sorts(spark: SparkSession, d: str) -> DataFrame:
-    top = _blocked(spark, d).orderBy(F.desc("price_ratio"), "a", "b").limit(50)
-    return top.select("a", "b", F.row_number().over(Window.orderBy(F.desc("price_ratio"), "a", "b")).alias("k"))
+    """The first page of pairs in each of the nine orders."""
+    own = _blocked(spark, d).where("a < b")
+    out = None
+    for name, order in PAIR_SORTS.items():
+        order = _order(order)
+        page = own.orderBy(*order, "a", "b").limit(20).withColumn("place", F.row_number().over(Window.orderBy(*order, "a", "b"))).select(F.lit(name).alias("sort"), "a", "b", "place")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 # --- search ---
@@ -327,7 +375,7 @@ def search_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked_rows(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     own = rows(spark, d).where("score is not null").select("item_id", "work", "grade", F.array(F.lit(1.0), F.col("size") / 50, F.col("price") / 1000, "score", "chance").alias("x"))
-    sample = models.bounded(own.where("grade is not null"), "item_id", 400)
+    sample = models.bounded(own.where("grade is not null"), "item_id", models.RANKED_ROWS)
     x = np.stack(sample.x.to_numpy()).astype(float)
     return own, x, sample.grade.to_numpy(), sample.work.to_numpy()
 
@@ -335,8 +383,7 @@ def _ranked_rows(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray, np
 @query()
 def pairwise_linear(spark: SparkSession, d: str) -> DataFrame:
     own, x, g, w = _ranked_rows(spark, d)
-    weight = models.fit_pairwise(x, g, w)
-    return models.scored(own, "item_id", "x", lambda a: a @ weight)
+    return own.select("item_id", nm.weighed("x", models.fit_pairwise(x, g, w)).alias("score"))
 
 
 @query()
@@ -372,7 +419,7 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def platt_calibration(spark: SparkSession, d: str) -> DataFrame:
-    sample = models.bounded(rows(spark, d).where("grade is not null and score is not null").select("item_id", "score", "grade"), "item_id", 2000)
+    sample = models.bounded(rows(spark, d).where("grade is not null and score is not null").select("item_id", "score", "grade"), "item_id", models.CURVE_ROWS)
     fit = models.platt(sample.score.to_numpy(), (sample.grade >= 4).to_numpy().astype(float))
     shift, slope = (0.0, 0.0) if fit is None else fit
     return rows(spark, d).where("score is not null").select("item_id", nm.sigmoid(F.col("score") * float(slope) + float(shift)).alias("chance"))
@@ -380,12 +427,12 @@ def platt_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def logistic_pair(spark: SparkSession, d: str) -> DataFrame:
-    own = _blocked(spark, d).withColumn("id", F.xxhash64("a", "b")).withColumn("x", F.array(F.lit(1.0), F.coalesce("size_ratio", F.lit(0.0)), "price_ratio"))
-    sample = models.bounded(own.select("id", "x", "price_ratio"), "id", 2000)
+    own = _blocked(spark, d).where("a < b").withColumn("id", F.xxhash64("a", "b")).withColumn("x", F.array(F.lit(1.0), F.coalesce("size_ratio", F.lit(0.0)), "price_ratio"))
+    sample = models.bounded(own.select("id", "x", "price_ratio"), "id", models.CURVE_ROWS)
     if not len(sample):
         return own.select("id", F.lit(0.0).alias("score"))
     weight = models.fit_logistic(np.stack(sample.x.to_numpy()).astype(float), (sample.price_ratio > 0.99).to_numpy().astype(float))
-    return models.scored(own, "id", "x", lambda a: models.sigmoid(a @ weight))
+    return own.select("id", nm.sigmoid(nm.weighed("x", weight)).alias("score"))
 
 
 #: Directions that principal_directions finds.
@@ -420,12 +467,12 @@ def event_debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, event_type as kind, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
 def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
-    return changes.run_once(spark, d, changes.latest_state).select("user_id", "kind", "value")
+    return changes.run_once(spark, d, changes.latest_state, ["user_id"]).select("user_id", "kind", "value")
 
 
 @query("select user_id, event_type as kind, count(*) as n from (select distinct user_id, event_type, date_trunc('hour', ts) as h from events) group by 1, 2")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return changes.run_once(spark, d, changes.distinct_changes)
+    return changes.run_once(spark, d, changes.distinct_changes, ["user_id", "kind", "hour"]).groupBy("user_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("select user_id as task, sum(n)::bigint as changes, string_agg(event_type || '=' || n, ' ' order by event_type) as reasons from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1")

@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     own = sc._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or "file:///tmp/checkpoints")
         own = sc._jsc.sc().getCheckpointDir()
     return (named or own.get()).rstrip("/")

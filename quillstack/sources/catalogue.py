@@ -55,8 +55,8 @@ class Catalogue:
         return lines.groupBy(F.col("l_partkey").alias("item_id")).agg((cents / F.count("*") / 1_000_000).alias("score"), (kept / F.count("*")).alias("chance"))
 
     def latest_grades(self) -> DataFrame:
-        """The newest grade of every third item; the others are not graded."""
-        own = self.ratings().where(F.col("item_id") % 3 == 0)
+        """The newest grade of an item's seventh version; items without one are not graded."""
+        own = self.ratings().where("version = 7")
         return own.groupBy("item_id").agg(F.max_by("grade", F.struct("rated_at", "rating_id", "version")).alias("grade"), F.max("rated_at").alias("rated_at"))
 
     def rows(self) -> DataFrame:
@@ -70,6 +70,10 @@ class Catalogue:
         return self.table("documents").select("doc_id", "text", "lang", "source", "n_chars")
 
     def words_edges(self) -> DataFrame:
-        """A small hierarchy with a value of two parents, below the nations and regions."""
-        rows = [("N0", "R0"), ("N0", "R1"), ("N1", "R1"), ("N2", "R2"), ("N3", "R2"), ("R0", "W"), ("R1", "W"), ("R2", "W"), ("N0", "W")]
-        return self.spark.createDataFrame(rows, "child string, parent string")
+        """A hierarchy: suppliers below a nation and a region each, nations below regions, regions below the world."""
+        named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+        s, n, r = self.table("supplier"), self.table("nation"), self.table("region")
+        out = s.select(named("S", F.col("s_suppkey")).alias("child"), named("N", F.col("s_nationkey")).alias("parent"))
+        out = out.unionByName(s.select(named("S", F.col("s_suppkey")).alias("child"), named("R", F.col("s_suppkey") % 5).alias("parent")))
+        out = out.unionByName(n.select(named("N", F.col("n_nationkey")).alias("child"), named("R", F.col("n_regionkey")).alias("parent")))
+        return out.unionByName(r.select(named("R", F.col("r_regionkey")).alias("child"), F.lit("W").alias("parent")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,27 +31,37 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def distinct_changes(events: DataFrame) -> DataFrame:
-    """Changes of one kind, user and hour told once, then counted."""
+    """Changes of one kind, user and hour, told once: one row each, a key of the state and no set inside it."""
     own = events.withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp"))).select("user_id", F.col("event_type").alias("kind"), "hour")
-    return own.groupBy("user_id", "kind").agg(F.count_distinct("hour").alias("n")) if not events.isStreaming else own.groupBy("user_id", "kind").agg(F.size(F.collect_set("hour")).cast("long").alias("n"))
+    return own.groupBy("user_id", "kind", "hour").agg(F.count("*").alias("told"))
 
 
-def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a streaming plan holds after all that is there now, as a table in the shared folder.
+def run_on(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], name: str, key: Sequence[str]) -> DataFrame:
+    """What a streaming plan holds by key after all that is there now, as a table in the shared folder.
 
-    Offsets and state lie there too, so that a later run goes on from where this one ended.
+    Offsets, state and table lie under `name`, so that a later run of that name reads only what is
+    new and goes on from where this one ended. Each batch's changed keys are appended with their
+    batch's number, and the newest row of a key stands; a batch that is run again after a failure
+    writes its own folder again.
     """
-    root = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/changes-{name}"
 
-    def kept(state: DataFrame, _: int) -> None:
-        state.write.mode("overwrite").parquet(f"{root}/state")
+    def kept(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
 
-    events = change_log(spark, path)
-    stream = plan(events).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/log").foreachBatch(kept).trigger(availableNow=True).start()
+    stream = plan(change_log(spark, path)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/log").foreachBatch(kept).trigger(availableNow=True).start()
     try:
         stream.awaitTermination()
         if stream.exception() is not None:
             raise stream.exception()
     finally:
         stream.stop()
-    return spark.read.parquet(f"{root}/state")
+    rows = spark.read.parquet(f"{root}/rows")
+    rest = [c for c in rows.columns if c not in (*key, "batch")]
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*key, *(F.col(f"row.{c}").alias(c) for c in rest))
+
+
+def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], key: Sequence[str]) -> DataFrame:
+    """run_on under a name of its own: everything that is there, read once."""
+    return run_on(spark, path, plan, uuid.uuid4().hex, key)
