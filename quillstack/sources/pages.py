@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -23,3 +23,15 @@ def parsed(pages: DataFrame) -> DataFrame:
 def misread(pages: DataFrame, version: int) -> DataFrame:
     """Pages that a parser older than `version` read."""
     return pages.where(F.col("parser_version") < version)
+
+
+# fixed values: tags that break lines
+BLOCKS = "p|div|br|li|ul|h1|h2|h3|article|nav|section|tr|table|footer|header"
+
+
+def text_of(page: Column) -> Column:
+    """Text of a page: block tags break lines, scripts, styles and comments go, spaces are evened, one blank line at most."""
+    bare = F.regexp_replace(F.regexp_replace(page, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), r"<!--.*?-->", "")
+    lines = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), rf"(?i)</?({BLOCKS})\b[^>]*>", "\n")
+    plain = F.regexp_replace(F.regexp_replace(lines, r"<[^>]*>", ""), r" *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
