@@ -110,6 +110,32 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(alone.withColumn("component", F.col("node")))
 
 
+def rebound(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """Links (child, parent) after merges (node, into): both ends moved, once each, none to itself."""
+    a = merges.select(F.col("node").alias("child"), F.col("into").alias("a"))
+    b = merges.select(F.col("node").alias("parent"), F.col("into").alias("b"))
+    out = edges.join(a, "child", "left").join(b, "parent", "left").select(F.coalesce("a", "child").alias("child"), F.coalesce("b", "parent").alias("parent"))
+    return out.where("child <> parent").distinct()
+
+
+def closing_circles(asked: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """Links of asked(child, parent, ...) whose parent lies below the child already, or is the child."""
+    below = ancestors.select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))
+    return asked.join(below, ["child", "parent"], "left_semi").unionByName(asked.where("child = parent"))
+
+
+def around(edges: DataFrame, seeds: list[str], steps: int) -> DataFrame:
+    """(node, step): nodes within so many links of the seeds, in either direction, at their least distance."""
+    shared_folder(edges.sparkSession)
+    both = edges.select(F.col("child").alias("at"), F.col("parent").alias("to")).unionByName(edges.select(F.col("parent").alias("at"), F.col("child").alias("to")))
+    known = new = edges.sparkSession.createDataFrame([(s, 0) for s in seeds], "node string, step int")
+    for step in range(1, steps + 1):
+        found = new.select(F.col("node").alias("at")).join(both, "at").select(F.col("to").alias("node")).distinct()
+        new = found.join(known.select("node"), "node", "left_anti").withColumn("step", F.lit(step)).checkpoint()
+        known = known.unionByName(new)
+    return known
+
+
 def merged_into(merges: DataFrame) -> DataFrame:
     """(gone, into): where a chain of merges ends."""
     ends = closure(merges, "gone", "into")

@@ -24,6 +24,11 @@ def only_of(having: Sequence[str], passes: Column, source: str = "source") -> Co
     return passes | ~F.col(source).isin(*having)
 
 
+def three_state(has: Column, choice: str) -> Column:
+    """`only`: rows that have it, `without`: rows that have it not, anything else: all."""
+    return has if choice == "only" else ~has if choice == "without" else F.lit(True)
+
+
 def between(scale: Sequence[str], low: str | None, high: str | None) -> list[str]:
     """Steps of an ordered scale from low to high; an inverted range is empty."""
     a = scale.index(low) if low in scale else 0
