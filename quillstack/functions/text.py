@@ -129,6 +129,35 @@ def card_date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in ("d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "yyyy-MM-dd")))
 
 
+def comment_time(text: Column) -> Column:
+    """d MMM yyyy h:mma; else null."""
+    return F.try_to_timestamp(text, F.lit("d MMM yyyy h:mma"))
+
+
+# fixed values: names of languages in English and in themselves
+LANGUAGES = {"english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "russian": "ru", "русский": "ru"}
+CODES = ["en", "de", "fr", "es", "ru"]
+
+
+def language_code(told: Column) -> Column:
+    """Code of a language told by a tag (its first part counts) or by a name; else null."""
+    low = F.lower(F.trim(told))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), low)
+    first = F.element_at(F.split(low, "[-_]"), 1)
+    return F.coalesce(named, F.when(first.isin(*CODES), first))
+
+
+def common_language(words: Column, common: dict[str, list[str]], fallback: Column, least: int = 50) -> Column:
+    """The language most of whose common words stand in a text; the first of equals. Short texts, and those without any, keep the fallback."""
+    count = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
+    n = [count(own) for own in common.values()]
+    top = F.greatest(*n)
+    out = F.lit(None).cast("string")
+    for code, own in reversed(list(zip(common, n, strict=True))):
+        out = F.when(own == top, F.lit(code)).otherwise(out)
+    return F.when((F.size(words) < least) | (top == 0), fallback).otherwise(out)
+
+
 def terms(query: Column, stops: list[str]) -> Column:
     """Distinct words of at least two characters that aren't stop words."""
     split = F.split(F.lower(query), r"[^\p{L}\p{N}']+")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curation, learning, lists, measures, search, stores, texts, views
+from . import curation, features, learning, lists, measures, search, stores, texts, views
 
-_PARTS = [lists, texts, measures, curation, learning, search, stores, views]
+_PARTS = [lists, texts, measures, curation, learning, search, stores, views, features]
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.SQL.items()}
