@@ -5,6 +5,8 @@ blocks of all classes query every shard. A beam that ends among links is widened
 each block's queries is audited against the whole shard: beams widen until the audit passes. Queries
 whose links outgrow the widest beam are answered from the whole shard. Links are verified in double
 precision; a task sends a spanning forest of its links, and components are joined over all shards.
+A link is looked for from both of its ends. Rows whose links were not all found from both are told by
+sums of names and asked again of whole shards, so that a count errs only by links that both ends missed.
 """
 
 from __future__ import annotations
@@ -196,13 +198,21 @@ class Graph:
         return layers[-1].search(queries, entry, width)
 
 
-def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of every pair found with cosine >= similar in double precision. exact: the shard's unit vectors as doubles."""
+def spread_over(rows: np.ndarray, most: int) -> np.ndarray:
+    """Up to so many of the rows, at even distances."""
+    return rows[np.linspace(0, len(rows) - 1, min(most, len(rows))).astype(int)]
+
+
+def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of every pair found with cosine >= similar in double precision. exact: the shard's unit vectors as doubles.
+
+    The audit takes queries evenly and, so that it has links to look for, as many of those that found some.
+    A beam of WIDEST reads the whole shard.
+    """
     units = queries.astype(np.float32)
     slack = np.float32(similar - 1e-4)
-    audit = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int)
-    truth = queries[audit] @ exact.T >= similar
-    width = min(BEAM, len(exact))
+    audit = truth = None
+    width = min(beam, len(exact))
     open_rows = np.arange(len(queries))
     found: dict[int, np.ndarray] = {}
     while len(open_rows):
@@ -218,6 +228,10 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: floa
             ids, score = graph.search(units[own], width)
             hit = (score >= slack) & (ids >= 0)
             found.update((int(q), i[h]) for q, i, h in zip(own, ids, hit, strict=True))
+        if audit is None:
+            linked = np.array([q for q in range(len(queries)) if len(found[q])], int)
+            audit = np.union1d(spread_over(np.arange(len(queries)), AUDITED), spread_over(linked, AUDITED))
+            truth = np.concatenate([queries[audit[lo : lo + 32]] @ exact.T >= similar for lo in range(0, len(audit), 32)])
         # those whose beam ends among links go on anyway; the audit is of all others
         ended = [(np.flatnonzero(t), found[int(q)]) for q, t in zip(audit, truth, strict=True) if len(found[int(q)]) < width]
         if sum(np.isin(t, f).sum() for t, f in ended) < RECALL * sum(len(t) for t, _ in ended):
@@ -235,6 +249,28 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: floa
     return q[keep], r[keep]
 
 
+def named(ids: np.ndarray) -> np.ndarray:
+    """Ids as mixed numbers of 28 bits, whose sums tell sets apart and fit 64 bits for 2^35 of them."""
+    x = ids.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) & np.uint64((1 << 28) - 1)).astype(np.int64)
+
+
+def both_sides(rep: np.ndarray, other: np.ndarray, copies: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, vectors linked, balance) of the links (q, r) that one side found.
+
+    The balance is the sum of the names that a row found, less the sum of the names that found it. Over all
+    blocks and shards it is 0 exactly where every link of the row was found from both of its ends.
+    """
+    n = np.bincount(q, copies[r], len(rep)).astype(np.int64)
+    gave, took = np.zeros(len(rep), np.int64), np.zeros(len(other), np.int64)
+    np.add.at(gave, q, named(other[r]))
+    np.add.at(took, r, named(rep[q]))
+    a, b = np.unique(q), np.unique(r)
+    return np.concatenate((rep[a], other[b])), np.concatenate((n[a], np.zeros(len(b), np.int64))), np.concatenate((gave[a], -took[b]))
+
+
 def folder(path: str, size: int, name: str, number: int) -> pa.Table:
     """Rows of one folder of a table that was written by size and name."""
     store, base = fs.FileSystem.from_uri(f"{path}/size={size}/{name}={number}")
@@ -296,33 +332,51 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
     dealt.groupBy("shard", "size").applyInArrow(build, "shard int, size int, rep binary, copies binary, exact binary, top binary, near array<binary>").write.partitionBy("size", "shard").parquet(graphs)
     dealt.select("rep", "copies", "embedding", "size", "block").repartition("size", "block").write.partitionBy("size", "block").parquet(asked)
 
-    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of a block to a shard; both are read from the shared folder by their names."""
-        for batch in batches:
-            for size, shard, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = folder(graphs, size, "shard", shard).to_pylist()[0]
-                rep, _, queries = _table(folder(asked, size, "block", block))
-                shard_rep, copies = np.frombuffer(own["rep"], np.int64), np.frombuffer(own["copies"], np.int64)
-                exact = np.frombuffer(own["exact"]).reshape(len(shard_rep), -1)
-                units = exact.astype(np.float32)
-                layers = []
-                for data in own["near"]:
-                    layer = Layer(units, 0)
-                    layer.near = np.frombuffer(data, np.int32).reshape(len(units), -1)
-                    layers.append(layer)
-                q, r = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar)
-                other = rep[q] != shard_rep[r]
-                q, r = q[other], r[other]
-                n = np.bincount(q, copies[r], len(rep)).astype(np.int64)
-                u, v = forest(rep[q], shard_rep[r])
-                some = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(np.concatenate((rep[some], u))), pa.array(np.concatenate((np.full(len(some), -1), v)), mask=np.arange(len(some) + len(v)) < len(some)), pa.array(np.concatenate((n[some], np.zeros(len(u), np.int64))))], names=["u", "v", "n"])
-
-    pairs = scratch.keep(dealt.select("size", "shard").distinct().join(dealt.select("size", "block").distinct(), "size"), "pairs")
-    # a pair is a task's work, so they are dealt by number and not by their few bytes
-    tasks = min(max(1, pairs.count()), MOST_TASKS)
-    got = scratch.keep(pairs.repartition(tasks).mapInArrow(query, "u long, v long, n long"), "links")
-    counts = got.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
+    def ask(asked: str, beam: int) -> DataFrame:
+        """(u, v, n, balance): links of every block to every shard; both are read from the shared folder by their names."""
+
+        def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, shard, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    own = folder(graphs, size, "shard", shard).to_pylist()[0]
+                    rep, _, queries = _table(folder(asked, size, "block", block))
+                    shard_rep, copies = np.frombuffer(own["rep"], np.int64), np.frombuffer(own["copies"], np.int64)
+                    exact = np.frombuffer(own["exact"]).reshape(len(shard_rep), -1)
+                    units = exact.astype(np.float32)
+                    layers = []
+                    for data in own["near"]:
+                        layer = Layer(units, 0)
+                        layer.near = np.frombuffer(data, np.int32).reshape(len(units), -1)
+                        layers.append(layer)
+                    q, r = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar, beam)
+                    other = rep[q] != shard_rep[r]
+                    q, r = q[other], r[other]
+                    row, n, balance = both_sides(rep, shard_rep, copies, q, r)
+                    u, v = forest(rep[q], shard_rep[r])
+                    none = np.zeros(len(u), np.int64)
+                    end = pa.array(np.concatenate((np.zeros(len(row), np.int64), v)), mask=np.arange(len(row) + len(v)) < len(row))
+                    yield pa.record_batch([pa.array(np.concatenate((row, u))), end, pa.array(np.concatenate((n, none))), pa.array(np.concatenate((balance, none)))], names=["u", "v", "n", "balance"])
+
+        blocks_asked = spark.read.parquet(asked).select(F.col("size").cast("int").alias("size"), F.col("block").cast("int").alias("block")).distinct()
+        pairs = scratch.keep(dealt.select("size", "shard").distinct().join(blocks_asked, "size"), "pairs")
+        # a pair is a task's work, so they are dealt by number and not by their few bytes
+        tasks = min(max(1, pairs.count()), MOST_TASKS)
+        return scratch.keep(pairs.select("size", "shard", "block").repartition(tasks).mapInArrow(query, "u long, v long, n long, balance long"), "links")
+
+    got = ask(asked, BEAM) if total else spark.createDataFrame([], "u long, v long, n long, balance long")
+    sums = scratch.keep(got.where("v is null").groupBy("u").agg(F.sum("n").alias("n"), F.sum("balance").alias("balance")).withColumnRenamed("u", "rep"), "counts")
+    counts = sums.where("balance = 0").select("rep", "n")
+    doubted = sums.where("balance <> 0")
+    n_doubted = doubted.count()
+    if n_doubted:
+        # one end of a link missed it: these rows are asked again, of whole shards
+        again, parts = scratch.path("again"), -(-n_doubted // BLOCK_ROWS)
+        block = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("block")
+        classes.join(doubted.select("rep"), "rep").select("rep", "copies", "embedding", "size", block).repartition("size", "block").write.partitionBy("size", "block").parquet(again)
+        more = ask(again, WIDEST)
+        exact_counts = more.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
+        counts = counts.unionByName(doubted.select("rep").join(exact_counts, "rep"))
+        got = got.unionByName(more)
     links = got.where("v is not null").select("u", "v")
     member = signed.select("vec_id", "digest").join(classes.select("digest", "rep", "copies"), "digest", "left")
     # rows of one vec_id with several vectors tie their classes together

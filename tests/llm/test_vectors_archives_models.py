@@ -77,6 +77,38 @@ def test_graph_recall():
     assert len(q) >= 0.99 * truth and (np.einsum("ij,ij->i", x[::5][q], x[r]) >= 0.9).all()
 
 
+def test_links_missed_from_one_end_are_told():
+    """Balances of all blocks and shards are 0 but at both ends of a link that one end missed."""
+    rep, copies = np.arange(100, 140), np.full(40, 2)
+    hit = np.random.default_rng(3).random((40, 40)) < 0.3
+    hit = (hit | hit.T) & ~np.eye(40, dtype=bool)
+    hit[:, :2] = hit[:2] = False
+    found = hit.copy()
+    a, b = np.argwhere(hit)[0]
+    found[a, b] = False
+
+    def balance(found):
+        total, linked = dict.fromkeys(rep.tolist(), 0), dict.fromkeys(rep.tolist(), 0)
+        for block in (rep[:25], rep[25:]):
+            for shard in (rep[:10], rep[10:]):
+                q, r = np.nonzero(found[np.ix_(block - 100, shard - 100)])
+                for u, n, s in zip(*vectors.both_sides(block, shard, copies[: len(shard)], q, r), strict=True):
+                    total[int(u)] += int(s)
+                    linked[int(u)] += int(n)
+        return {u for u, s in total.items() if s}, linked
+
+    assert balance(hit) == (set(), {int(u): int(n) * 2 for u, n in zip(rep, hit.sum(1), strict=True)})
+    assert balance(found)[0] == {100 + int(a), 100 + int(b)}
+
+
+def test_whole_shards_when_the_beam_is_widest():
+    x = np.random.default_rng(8).normal(size=(900, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.Graph.build(x.astype(np.float32))
+    q, r = vectors.links_in(graph, x, x[:50], 0.9, vectors.WIDEST)
+    assert set(zip(q.tolist(), r.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(x[:50] @ x.T >= 0.9))))
+
+
 def test_links_at_the_threshold(spark):
     """A cosine of exactly 0.9 links, one just below does not; several shards and blocks, every link counted from both ends."""
     rows = [(0, [1.0, 0.0, 0.0]), (1, [9.0, np.sqrt(19.0), 0.0]), (2, [0.8999999, 0.0, np.sqrt(1 - 0.8999999**2)])]
