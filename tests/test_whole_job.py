@@ -51,7 +51,9 @@ def test_words_are_fitted_on_all_documents(spark, tmp_path):
     pd.DataFrame({"doc_id": range(1500), "text": texts, "lang": "en", "source": "s", "n_chars": [len(t) for t in texts]}).to_parquet(tmp_path / "documents.parquet")
     got = plans.QUERIES["words_per_character"](spark, str(tmp_path)).toPandas().sort_values("doc_id").words.to_numpy()
     letters, digits, spaces = (np.array([float(sum(c in own for c in t)) for t in texts]) for own in ("ab", "1", " "))
-    x = np.stack((letters, letters, digits, spaces, np.zeros(1500)), 1)
+    # the eight classes in their order: breaks, spaces, digits, letters of one to four bytes, the rest
+    none = np.zeros(1500)
+    x = np.stack((none, spaces, digits, letters, none, none, none, none), 1)
     want = x @ models.least_absolute(x, np.array([float(len(t.split())) for t in texts]), 20)
     assert np.allclose(got, want, atol=1e-6)
 
