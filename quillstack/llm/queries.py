@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, minhash, packing, pieces, quality, suffix, topk, toxicity, vectors, warc
+from . import lines, merkle, minhash, packing, pieces, quality, suffix, topk, toxicity, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,14 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity_crf, op3_line_dedup, op4_suffix_dedup, op5_quality_network, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), merkle.without_line_ends())
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), merkle.fold(F.col("turned"), "path").alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity_crf, op3_line_dedup, op4_suffix_dedup, op5_quality_network, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup, op13_merkle_manifest)}
 
 SQL = {
     "op3_line_dedup": """
@@ -123,5 +130,52 @@ with recursive fine as (
 )
 select e.vec_id, coalesce(d.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
 from embeddings e join component c on c.u = e.vec_id left join degree d on d.u = e.vec_id
+""",
+    "op13_merkle_manifest": """
+with recursive told as (
+    select doc_id, source, case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id::varchar end || case when source is null then '-' else strlen(source::varchar) || ':' || source::varchar end || case when lang is null then '-' else strlen(lang::varchar) || ':' || lang::varchar end || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars::varchar end as head, text,
+           xor(list_reduce([4294967295::bigint] || list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: ascii(c)::bigint),
+               lambda acc, b: list_reduce([xor(acc, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) as crc
+    from documents
+), hashed as (
+    select doc_id, source, sha256(head || case when text is null then '-' else strlen(text::varchar) || ':' || text::varchar end) as leaf,
+           sha256(head || case when text is null then '-' when crc % 2 = 0 then strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') else strlen(text) || ':' || text end) as turned
+    from told
+), placed as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as seq, count(*) over (partition by source) as n from hashed
+), node(source, lvl, seq, h, n) as (
+    select source, 0, seq, leaf, n from placed
+    union all
+    select source, lvl + 1, seq // 3, sha256(string_agg(h, '' order by seq)), (min(n) + 2) // 3 from node where n > 1 group by source, lvl, seq // 3
+), crown(lvl, seq, h, n) as (
+    select 0, row_number() over (order by source is not null, encode(source)) - 1, h, count(*) over () from node where n = 1
+    union all
+    select lvl + 1, seq // 3, sha256(string_agg(h, '' order by seq)), (min(n) + 2) // 3 from crown where n > 1 group by lvl, seq // 3
+), seat as (
+    select source, h as subroot, row_number() over (order by source is not null, encode(source)) - 1 as seq from node where n = 1
+), side as (
+    select s.source, c.lvl, coalesce(string_agg(c.h, '' order by c.seq) filter (where c.seq < s.seq // pow(3, c.lvl)::bigint), '') as b,
+           coalesce(string_agg(c.h, '' order by c.seq) filter (where c.seq > s.seq // pow(3, c.lvl)::bigint), '') as a
+    from seat s join crown c on c.n > 1 and c.seq // 3 = s.seq // pow(3, c.lvl + 1)::bigint group by s.source, c.lvl
+), upper_path as (
+    select source, list({'b': b, 'a': a} order by lvl) as path from side group by source
+), own_side as (
+    select p.source, p.seq, c.lvl, coalesce(string_agg(c.h, '' order by c.seq) filter (where c.seq < p.seq // pow(3, c.lvl)::bigint), '') as b,
+           coalesce(string_agg(c.h, '' order by c.seq) filter (where c.seq > p.seq // pow(3, c.lvl)::bigint), '') as a
+    from placed p join node c on c.source is not distinct from p.source and c.n > 1 and c.seq // 3 = p.seq // pow(3, c.lvl + 1)::bigint
+    group by p.source, p.seq, c.lvl
+), own_path as (
+    select source, seq, list({'b': b, 'a': a} order by lvl) as path from own_side group by source, seq
+), whole as (
+    select p.*, s.subroot, (select h from crown where n = 1) as root, coalesce(o.path, []) || coalesce(u.path, []) as path
+    from placed p join seat s on s.source is not distinct from p.source
+    left join own_path o on o.source is not distinct from p.source and o.seq = p.seq
+    left join upper_path u on u.source is not distinct from p.source
+), folded as (
+    select *, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.b || x.a), ''), '')) as proof_sha256,
+           list_reduce([{'b': turned, 'a': ''}] || path, lambda acc, x: {'b': sha256(x.b || acc.b || x.a), 'a': ''}).b as folded_root
+    from whole
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
 """,
 }
