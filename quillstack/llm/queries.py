@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, merkle, minhash, packing, pieces, quality, suffix, topk, toxicity, vectors, warc
+from . import codes, languages, lines, merkle, minhash, packing, pieces, quality, suffix, topk, toxicity, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,16 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.fit(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    out = codes.with_label_errors(coded)
+    return out.select("vec_id", codes.code_text().alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.tagged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), merkle.without_line_ends())
     return out.select(
@@ -63,7 +73,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity_crf, op3_line_dedup, op4_suffix_dedup, op5_quality_network, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity_crf, op3_line_dedup, op4_suffix_dedup, op5_quality_network, op6_harmonic_packing, op7_exact_topk, op8_sentencepiece, op9_warc, op10_vector_near_dedup, op11_vector_codes, op12_language_profiles, op13_merkle_manifest)}
 
 SQL = {
     "op3_line_dedup": """
@@ -130,6 +140,50 @@ with recursive fine as (
 )
 select e.vec_id, coalesce(d.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
 from embeddings e join component c on c.u = e.vec_id left join degree d on d.u = e.vec_id
+""",
+    "op11_vector_codes": """
+with fine as (
+    select row_number() over (order by vec_id, embedding) - 1 as rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), part as materialized (
+    select rid, p.part, v[4 * p.part + 1 : 4 * p.part + 4] as v from fine, range(16) p(part)
+), book0 as materialized (
+    select part, rid as entry, v from part where rid < 64
+), near0 as materialized (
+    select rid, part, any_value(v) as v, arg_min(entry, d * 64 + entry) as entry, min(d) as d
+    from (select p.rid, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+          from part p join book0 b on b.part = p.part)
+    group by rid, part
+), book1 as materialized (
+    select b.part, b.entry, coalesce(m.v, b.v) as v from book0 b left join (
+        select part, entry, list(c order by k) as v from (
+            select part, entry, k, floor(sum(v[k])::double / count(*))::bigint as c from near0, range(1, 5) r(k) group by part, entry, k
+        ) group by part, entry
+    ) m on m.part = b.part and m.entry = b.entry
+), near1 as materialized (
+    select rid, part, any_value(v) as v, arg_min(entry, d * 64 + entry) as entry, min(d) as d
+    from (select p.rid, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+          from part p join book1 b on b.part = p.part)
+    group by rid, part
+), book2 as materialized (
+    select b.part, b.entry, coalesce(m.v, b.v) as v from book1 b left join (
+        select part, entry, list(c order by k) as v from (
+            select part, entry, k, floor(sum(v[k])::double / count(*))::bigint as c from near1, range(1, 5) r(k) group by part, entry, k
+        ) group by part, entry
+    ) m on m.part = b.part and m.entry = b.entry
+), near2 as materialized (
+    select rid, part, any_value(v) as v, arg_min(entry, d * 64 + entry) as entry, min(d) as d
+    from (select p.rid, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+          from part p join book2 b on b.part = p.part)
+    group by rid, part
+), told as (
+    select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from book2
+), coded as (
+    select f.vec_id, f.label, string_agg(printf('%02x', n.entry), '' order by n.part) as code, sum(n.d)::bigint as error
+    from near2 n join fine f on f.rid = n.rid group by f.rid, f.vec_id, f.label
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, told
 """,
     "op13_merkle_manifest": """
 with recursive told as (
