@@ -173,22 +173,6 @@ def concordance(df: DataFrame, *by: str, highest: int = 5) -> DataFrame:
     return both.select(*by, ((F.col("right") - F.col("r")) / (F.col("pairs") - F.col("p"))).alias("concordance")).where("concordance is not null").drop("__all")
 
 
-def isotonic(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:
-    """Increasing means by the min-max formula over distinct x: max over a <= x of min over b >= x of the mean of a..b.
-
-    The number of distinct x is that of grades or bins, a fixed few.
-    """
-    w = Window.orderBy(x)
-    sums = df.groupBy(x).agg(F.sum(F.col(y) * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
-    run = sums.withColumns({"cs": F.sum("s").over(w), "cw": F.sum("w").over(w)})
-    a = run.select(F.col(x).alias("a"), (F.col("cs") - F.col("s")).alias("as"), (F.col("cw") - F.col("w")).alias("aw"))
-    b = run.select(F.col(x).alias("b"), F.col("cs").alias("bs"), F.col("cw").alias("bw"))
-    means = a.join(b, F.col("a") <= F.col("b")).withColumn("m", (F.col("bs") - F.col("as")) / (F.col("bw") - F.col("aw")))
-    at = run.select(F.col(x))
-    inner = at.join(means, (F.col("a") <= F.col(x)) & (F.col("b") >= F.col(x))).groupBy(x, "a").agg(F.min("m").alias("m"))
-    return inner.groupBy(x).agg(F.max("m").alias("fitted"))
-
-
 def balanced_cutoff(df: DataFrame, p: str, bins: int = 10_000) -> DataFrame:
     """The highest chance at which what is wrongly shown outweighs what is wrongly hidden, over bins."""
     own = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.min(p).alias("least"))

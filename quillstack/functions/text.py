@@ -16,8 +16,11 @@ def title_form(title: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All triples of characters of the padded title form, with repeats."""
-    padded = F.concat(F.lit(" "), title_form(text), F.lit(" "))
-    return F.when(F.length(padded) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    padded = F.split(F.concat(F.lit(" "), title_form(text), F.lit(" ")), "")
+    both = lambda a, b: F.concat(a, b)
+    # places of an array, as a substring is found from the text's start each time
+    triples = F.zip_with(F.zip_with(padded, F.slice(padded, 2, F.size(padded)), both), F.slice(padded, 3, F.size(padded)), both)
+    return F.when(F.size(padded) < 3, F.array().cast("array<string>")).otherwise(F.slice(triples, F.lit(1), F.size(padded) - 2))
 
 
 def hashed_trigrams(text: Column, buckets: int = 512) -> Column:

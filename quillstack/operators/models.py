@@ -302,7 +302,13 @@ def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digi
 
     asked is a stated set of queries. It is written to the shared folder, and every task reads it in
     blocks; a task keeps k a query and batch, so that what is ranked in the end is k a query and batch.
+    Rows whose vector is null, holds nulls or has another length than most take no part.
     """
+    fine = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    size = fine.groupBy(F.size(vector).alias("__n")).count().orderBy(F.desc("count"), "__n").select("__n").first()
+    size = size[0] if size else 0
+    df = fine.where(F.size(vector) == size)
+    asked = asked.where(F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & (F.size(vector) == size))
     root = f"{shared_folder(df.sparkSession)}/asked-{uuid.uuid4().hex}"
     asked.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null").write.parquet(root)
 

@@ -38,13 +38,14 @@ def near_in_order(rows: DataFrame, key: str, block: Column, order: Sequence[Colu
     """(key, other): each row and the `reach` after it in an order within its block.
 
     A block of more than `most` rows is dealt into parts by hash of the key, each in the same order, so
-    that its rows have neighbours that are near without a window over all of them. Rows of a null block
-    are left out.
+    that its rows have neighbours that are near without a window over all of them; it is dealt twice, by two
+    hashes, as nothing would lead from one part to another. Rows of a null block are left out.
     """
     own = rows.select(F.col(key).alias("key"), block.alias("block"), *(o.alias(f"o{k}") for k, o in enumerate(order))).where("block is not null")
     parts = own.groupBy("block").agg(F.ceil(F.count("*") / most).alias("parts"))
-    dealt = own.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
-    w = Window.partitionBy("block", "part").orderBy(*(f"o{k}" for k in range(len(order))), "key")
+    turns = F.when(F.col("parts") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = own.join(parts, "block").withColumn("turn", F.explode(turns)).withColumn("part", F.pmod(F.xxhash64("key", "turn"), "parts"))
+    w = Window.partitionBy("block", "turn", "part").orderBy(*(f"o{k}" for k in range(len(order))), "key")
     others = F.array(*(F.lead("key", k).over(w) for k in range(1, reach + 1)))
     return dealt.select("key", others.alias("others")).select("key", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("other"))
 
@@ -85,8 +86,8 @@ def descend(rows: DataFrame, key: str, score: Callable[[Column, Column], Column]
         onward = graph.where("taken").select(F.col("key").alias("node"), "other", "fresh")
         back = graph.select(F.col("other").alias("node"), F.col("key").alias("other"), "fresh")
         back = back.withColumn("n", F.row_number().over(Window.partitionBy("node", "fresh").orderBy(F.xxhash64("node", "other", F.lit(turn)), "other"))).where(F.col("n") <= sampled).drop("n")
-        # an edge known from both ends is as new as the older of the two
-        met = onward.unionByName(back).groupBy("node", "other").agg(F.min("fresh").alias("fresh"))
+        # an edge known from both ends is new while one of them has not been looked at
+        met = onward.unionByName(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
         met = met.join(known.withColumnRenamed("key", "other"), "other").select("node", "fresh", F.struct(F.col("other").alias("key"), "f", "worst").alias("x"))
         lists = met.groupBy("node").agg(F.collect_list(F.when(F.col("fresh"), F.col("x"))).alias("new"), F.collect_list(F.when(~F.col("fresh"), F.col("x"))).alias("old"))
         both = lists.select(F.explode("new").alias("a"), "new", "old").select("a", F.explode(F.concat(F.filter("new", lambda y: y["key"] > F.col("a.key")), F.filter("old", lambda y: y["key"] != F.col("a.key")))).alias("b"))

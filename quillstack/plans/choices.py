@@ -307,7 +307,11 @@ def author_places(spark: SparkSession, d: str) -> DataFrame:
 @query("with n as (select count(*) as n from embeddings), l as (select label, count(*) as n from embeddings group by 1), r as (select vec_id, label, row_number() over (partition by label order by vec_id) as k from embeddings), a as (select e.vec_id, e.label, r.vec_id as near from embeddings e join r on r.label = e.label and r.k <= 3 and r.vec_id <> e.vec_id), f as (select vec_id, label, ('0x' || left(md5(vec_id || ':' || r), 7))::bigint % n as far from embeddings, n, range(4) r(r)) select a.vec_id, a.near, f.far, round(1 / l.n::double, 6) as weight from a join f on f.vec_id = a.vec_id join embeddings o on o.vec_id = f.far and o.label <> a.label join l on l.label = a.label")
 def triplets(spark: SparkSession, d: str) -> DataFrame:
     """What lies near a name and what lies far: three names of its universe, and draws by hash from all others; a universe weighs one."""
-    own = Catalogue(spark, d).vectors().select("vec_id", "label")
+    return drawn_triplets(Catalogue(spark, d).vectors().select("vec_id", "label"))
+
+
+def drawn_triplets(own: DataFrame) -> DataFrame:
+    """(vec_id, near, far, weight) of rows (vec_id, label), whose ids are 0 to their number."""
     kin = own.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("a"))
     # the first three by three rounds of the least, which are combined before they move
     for name, before in (("b", "a"), ("c", "b")):

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as nm, text as tx
-from ..operators import listing, models
+from ..operators import listing, models, pooling
 from ..sources.catalogue import Catalogue
 from ..streaming import changes
 from .lists import ITEMS, RATINGS, ROWS, rows
@@ -110,8 +110,10 @@ w as (select a.grade as lo, b.grade as hi, sum(x.m * x.n) / sum(x.n) as avg_ fro
 select g.grade, round(max(low), 6) as place from g, (select g.grade as at_, w.lo, min(w.avg_) as low from g join w on w.lo <= g.grade and w.hi >= g.grade group by 1, 2) where at_ = g.grade group by g.grade""")
 def ladder_pava(spark: SparkSession, d: str) -> DataFrame:
     """Medians of scores a grade, made increasing."""
-    medians = rows(spark, d).where("grade is not null and score is not null").groupBy("grade").agg(F.percentile("score", 0.5).alias("m"), F.count("*").cast("double").alias("n"))
-    return nm.isotonic(medians, "grade", "m", "n").select("grade", F.round("fitted", 6).alias("place"))
+    medians = rows(spark, d).where("grade is not null and score is not null")
+    n = medians.groupBy("grade").agg(F.count("*").cast("double").alias("n"))
+    medians = nm.quantiles(medians, ["grade"], F.col("score"), [0.5]).select("grade", F.col("q0").alias("m")).join(n, "grade")
+    return pooling.isotonic(medians, "grade", "m", "n").select("grade", F.round("fitted", 6).alias("place"))
 
 
 @query(f"""with {ROWS}, g as (select floor(chance * 10)::int as bin, (count(*) filter (where grade >= 4) + 0.5) / (count(*) + 1.0) as m, count(*)::double as n from rows_ where grade is not null group by 1),
@@ -119,7 +121,7 @@ w as (select a.bin as lo, b.bin as hi, sum(x.m * x.n) / sum(x.n) as avg_ from g
 select g.bin, round(max(low), 6) as chance from g, (select g.bin as at_, w.lo, min(w.avg_) as low from g join w on w.lo <= g.bin and w.hi >= g.bin group by 1, 2) where at_ = g.bin group by g.bin""")
 def isotonic_curve(spark: SparkSession, d: str) -> DataFrame:
     own = rows(spark, d).where("grade is not null").groupBy(F.floor(F.col("chance") * 10).cast("int").alias("bin")).agg(((F.count_if(F.col("grade") >= 4) + 0.5) / (F.count("*") + 1.0)).alias("m"), F.count("*").cast("double").alias("n"))
-    return nm.isotonic(own, "bin", "m", "n").select("bin", F.round("fitted", 6).alias("chance"))
+    return pooling.isotonic(own, "bin", "m", "n").select("bin", F.round("fitted", 6).alias("chance"))
 
 
 @query(f"""with {ITEMS}, s as (select type, avg(price) as m, stddev_samp(price) / sqrt(count(*)) as se from items group by 1), best as (select m, se from s order by m desc, type limit 1)

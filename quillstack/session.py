@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(name: str = "quillstack", **settings: str) -> SparkSession:
     """A session in UTC with adaptive plans; on a cluster its own settings stand."""
@@ -31,3 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(named or "file:///tmp/checkpoints")
         own = sc._jsc.sc().getCheckpointDir()
     return (named or own.get()).rstrip("/")
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, whose workers can import this package: it goes to them as a zip file, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(), "quillstack_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
+    return spark
