@@ -23,8 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n <= 1e-9, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    # the norm as an element, so that it is worked out once and not for each component
+    scaled = lambda n: F.transform(a, lambda x: F.when(n <= 1e-9, x.cast("double")).otherwise(x.cast("double") / n))
+    return F.element_at(F.transform(F.array(norm(a)), scaled), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
