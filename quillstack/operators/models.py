@@ -297,9 +297,11 @@ def scored(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray],
 ASKED_BLOCK = 2048
 
 
-def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digits: int = 15) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digits: int = 15, itself: bool = False) -> DataFrame:
     """(asked, near, cosine, place): the k nearest others of each asked row; equal at so many digits: the smaller key.
 
+    itself: whether a row of the asked key may be near, as where keys of lines and of rows mean different things.
+
     asked is a stated set of queries. It is written to the shared folder, and every task reads it in
     blocks; a task keeps k a query and batch, so that what is ranked in the end is k a query and batch.
     Rows whose vector is null, holds nulls or has another length than most take no part.
@@ -331,7 +333,8 @@ def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digi
             near = b[key].to_numpy()
             for ids, q in blocks():
                 s = np.round(q @ x.T, digits)
-                s[ids[:, None] == near[None, :]] = -2
+                if not itself:
+                    s[ids[:, None] == near[None, :]] = -2
                 at = np.argsort(-s, 1, kind="stable")[:, :k]
                 out = pd.DataFrame({"asked": np.repeat(ids, at.shape[1]), "near": near[at].ravel(), "cosine": np.take_along_axis(s, at, 1).ravel()})
                 yield out[out.cosine > -2]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import numbers as nm, text as tx
 from ..operators import listing, models, pooling
 from ..sources.catalogue import Catalogue
-from ..streaming import changes
+from ..streaming import changes, quiet
 from .lists import ITEMS, RATINGS, ROWS, rows
 
 QUERIES: dict = {}
@@ -477,6 +479,17 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return changes.run_once(spark, d, changes.distinct_changes, ["user_id", "kind", "hour"]).groupBy("user_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query("""with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 10 minutes then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts) as s from e), w as (select user_id, s, max(ts) + interval 10 minutes as ended from s group by 1, 2),
+d as (select s.* from s join w using (user_id, s) where ended <= (select max(ts) from events))
+select user_id, event_type as kind, count(*) as changes, arg_max(value, epoch_us(ts)::hugeint * 10000000 + event_id) as value from d group by 1, 2""")
+def index_after_quiet(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of what changed, written once each user had been still for ten minutes; who is not yet still waits."""
+    index = quiet.QuietIndex(spark, uuid.uuid4().hex, quiet="10 minutes")
+    index.catch_up(d)
+    return index.documents().select("user_id", F.col("event_type").alias("kind"), "changes", "value")
+
+
 @query("select user_id as task, sum(n)::bigint as changes, string_agg(event_type || '=' || n, ' ' order by event_type) as reasons from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1")
 def stream_task_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """One task a key, the reasons that asked for it counted together."""
