@@ -172,13 +172,6 @@ def required(n: Column, every: int = 3) -> Column:
     return F.when(n <= 2, n).otherwise(n - F.floor(n / every)).cast("int")
 
 
-def light_stem(word: Column) -> Column:
-    """A plain English stem: plural, past and -ing endings off words that stay long enough."""
-    out = F.regexp_replace(word, r"(?<=.{3})(?:ies)$", "y")
-    out = F.regexp_replace(out, r"(?<=.{3})(?:ing|ed|ly)$", "")
-    return F.regexp_replace(out, r"(?<=[^s]{2}.)s$", "")
-
-
 def script_language(line: Column, fallback: str) -> Column:
     """Language by the script most of the letters have; Latin and none leave the fallback."""
     n = lambda p: F.length(F.regexp_replace(line, rf"[^{p}]", ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import numbers, text as tx
+from ..functions import numbers, stems as st, text as tx
 from ..sources import pages as html
 from ..sources.catalogue import Catalogue
 
@@ -126,10 +126,12 @@ def line_language(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"), "lang").select("doc_id", tx.script_language(F.col("line"), "la").alias("l")).groupBy("doc_id", "l").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rf"""with w as (select lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) as word from documents), d as (select lang, word, count(*) as n from w group by 1, 2), s as (select lang, word, n, {st.stems_sql(st.PLAIN, 'word', 'lang')} as stem from d)
+select lang, stem, sum(n)::bigint as n, count(*) as forms from s group by 1, 2""")
 def stems(spark: SparkSession, d: str) -> DataFrame:
-    own = _docs(spark, d).where("lang = 'en'").select("doc_id", F.explode(tx.letter_words(F.lower("text"))).alias("word"))
-    return own.groupBy(tx.light_stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n"), F.count_distinct("word").alias("forms"))
+    """Stems of all words by the language of their document: how often they stand, and in how many forms. Each form is stemmed once."""
+    words = _docs(spark, d).select("lang", F.explode(tx.letter_words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return words.groupBy("lang", st.stem("word", "lang").alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query("select n_nationkey as k, case when n_nationkey % 2 = 0 then 'dt ' || n_name else n_name end as shown from nation")
