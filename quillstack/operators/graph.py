@@ -32,6 +32,23 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> D
         known = known.unionByName(new)
 
 
+def ways_up(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, way): every way up from each of starts (node), link by link, as the values on it; each beginning of a way is one too.
+
+    A round lengthens the last one's ways by a link and is written; a way ends where it would come to a value
+    that it holds already, so that circles end. Ways can be many where parents are: starts are few.
+    """
+    shared_folder(edges.sparkSession)
+    up = edges.select(F.col(child).alias("at"), F.col(parent).alias("above")).where("at is not null and above is not null").distinct().checkpoint()
+    new = starts.select("node").distinct().join(up, F.col("node") == F.col("at")).where("above <> node").select("node", "above", F.array("node", "above").alias("way")).checkpoint()
+    out = new
+    while new.limit(1).count():
+        longer = new.select("node", F.col("above").alias("at"), "way").join(up, "at").where(~F.array_contains("way", F.col("above")))
+        new = longer.select("node", "above", F.concat("way", F.array("above")).alias("way")).checkpoint()
+        out = out.unionByName(new)
+    return out.select("node", "way")
+
+
 def expand_answers(said: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(item, value, added) over a hierarchy: yes reaches all ancestors, no all descendants.
 

@@ -208,8 +208,16 @@ def on_simplex(y: np.ndarray, total: float = 1.0) -> np.ndarray:
     return np.maximum(y - over[k], 0)
 
 
+def same_length(df: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector is not null, holds no nulls, and has the length that most have (of equals the smaller)."""
+    fine = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    size = fine.groupBy(F.size(vector).alias("__n")).count().orderBy(F.desc("count"), "__n").select("__n").first()
+    return fine.where(F.size(vector) == (size[0] if size else 0))
+
+
 def moments(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of the vectors of all rows; a task sums its own, the sums are added by place."""
+    """Mean and covariance of the vectors of all rows that same_length keeps; a task sums its own, the sums are added by place."""
+    df = same_length(df, column)
     mean = df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("k").toPandas().x.to_numpy()
     d = len(mean)
 
@@ -283,14 +291,14 @@ def least_absolute_of_all(df: DataFrame, features: str, size: int, y: str, round
 
 
 def scored(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray], np.ndarray], out: str = "score") -> DataFrame:
-    """key and score of every row; the model travels in the closure, rows in Arrow batches."""
+    """key and score of every row that same_length keeps; the model travels in the closure, rows in Arrow batches."""
 
     def task(batches):  # noqa: ANN001, ANN202
         for b in batches:
             x = np.stack(b[features].to_numpy()) if len(b) else np.zeros((0, 1))
             yield pd.DataFrame({key: b[key], out: score(x.astype(float)) if len(b) else np.zeros(0)})
 
-    return df.select(key, features).mapInPandas(task, f"{key} long, {out} double")
+    return same_length(df.select(key, features), features).mapInPandas(task, f"{key} long, {out} double")
 
 
 #: Asked rows that a task holds against a batch at once.
@@ -306,10 +314,9 @@ def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digi
     blocks; a task keeps k a query and batch, so that what is ranked in the end is k a query and batch.
     Rows whose vector is null, holds nulls or has another length than most take no part.
     """
-    fine = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
-    size = fine.groupBy(F.size(vector).alias("__n")).count().orderBy(F.desc("count"), "__n").select("__n").first()
+    df = same_length(df.where(F.col(key).isNotNull()), vector)
+    size = df.select(F.size(vector)).first()
     size = size[0] if size else 0
-    df = fine.where(F.size(vector) == size)
     asked = asked.where(F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & (F.size(vector) == size))
     root = f"{shared_folder(df.sparkSession)}/asked-{uuid.uuid4().hex}"
     asked.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null").write.parquet(root)

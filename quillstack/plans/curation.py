@@ -28,9 +28,8 @@ def query(sql: str | None = None):
 @query(f"with recursive {EDGES}, walk(node, at_, path) as (select child, parent, child || '>' || parent from edge where child = 'S0' union all select walk.node, e.parent, walk.path || '>' || e.parent from walk join edge e on walk.at_ = e.child) select path from walk")
 def upward_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every way up from one value, with the values on it."""
-    Catalogue(spark, d).words_edges().createOrReplaceTempView("__quill_walk")
-    return spark.sql("""with recursive walk(at_, path) as (select parent, concat(child, '>', parent) from __quill_walk where child = 'S0'
-        union all select e.parent, concat(walk.path, '>', e.parent) from walk join __quill_walk e on walk.at_ = e.child) select path from walk""")
+    ways = graph.ways_up(Catalogue(spark, d).words_edges(), spark.createDataFrame([("S0",)], "node string"))
+    return ways.select(F.array_join("way", ">").alias("path"))
 
 
 @query(f"with recursive {EDGES} select sum(('0x' || left(md5(node || '<' || ancestor), 8))::bigint)::bigint as signature, count(*) as pairs from closed")

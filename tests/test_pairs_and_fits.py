@@ -195,3 +195,18 @@ def test_nearest_of_null_and_ragged_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.9, 0.1]), (4, [1.0]), (5, [None, 1.0]), (6, [0.0, 1.0])], "id long, v array<double>")
     got = models.nearest(df, "id", "v", df, 2).toPandas()
     assert set(got.asked) == {1, 3, 6} == set(got.near)
+
+
+def test_moments_and_scores_of_null_and_ragged_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [3.0, 2.0]), (4, [1.0]), (5, [None, 1.0])], "id long, v array<double>")
+    mean, cov = models.moments(df, "v")
+    assert np.allclose(mean, [2, 1]) and np.allclose(cov, [[1, 1], [1, 1]])
+    assert sorted(map(tuple, models.scored(df, "id", "v", lambda x: x.sum(1)).collect())) == [(1, 1.0), (3, 5.0)]
+
+
+def test_ways_up_end_in_circles(spark):
+    from quillstack.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("a", "a"), (None, "x")], "child string, parent string")
+    got = sorted("".join(r.way) for r in graph.ways_up(edges, spark.createDataFrame([("a",), ("c",)], "node string")).collect())
+    assert got == sorted(["ab", "abc", "ad", "adc", "ca", "cab", "cad"])
