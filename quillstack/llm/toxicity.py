@@ -26,7 +26,8 @@ STEMS = (4, 5, 6)
 TRAITS = 1 + len(STEMS)
 LONGEST = 64
 SAMPLE_TOKENS, SAMPLE_FILES = 4_000_000, 4
-#: Sentences without a listed word that the field is fitted on, about; all of those with one are.
+#: Sentences without a listed word that the field is fitted on, about; all of those with one are. Each stands
+#: for as many as were passed over for it, so that the share of toxic tokens is that of the sample at any size.
 PLAIN_SENTENCES = 20_000
 REJECT = 0.7
 #: Share of a word's documents that are toxic, at least, where its tokens are labelled so.
@@ -75,8 +76,8 @@ class Field:
         """Probability of the toxic state of each token, given its sentence."""
         return self.expectations(word, sentence)[0]
 
-    def expectations(self, word: np.ndarray, sentence: np.ndarray, moves: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals, and if asked the expected number of moves from each state to each."""
+    def expectations(self, word: np.ndarray, sentence: np.ndarray, gain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals, and if sentences' weights are given the expected number of moves from each state to each."""
         expected = np.zeros((2, 2))
         size = np.diff(sentence)
         order = np.argsort(-size, kind="stable")
@@ -105,10 +106,10 @@ class Field:
             p0, p1 = ahead[0, at] * b0[:k], ahead[1, at] * b1[:k]
             out[at] = p1 / (p0 + p1)
             o = odds[at] * b1[:k]
-            if moves and t:
+            if gain is not None and t:
                 f0, f1 = ahead[0, at - 1], ahead[1, at - 1]
                 x = np.stack((f0 * move[0, 0] * b0[:k], f0 * move[0, 1] * o, f1 * move[1, 0] * b0[:k], f1 * move[1, 1] * o))
-                expected += (x / x.sum(0)).sum(1).reshape(2, 2)
+                expected += ((x / x.sum(0)) @ gain[order[:k]]).reshape(2, 2)
             n0, n1 = move[0, 0] * b0[:k] + move[0, 1] * o, move[1, 0] * b0[:k] + move[1, 1] * o
             total = n0 + n1
             b0[:k], b1[:k] = n0 / total, n1 / total
@@ -182,7 +183,7 @@ def toxic_traits(sample: Sample) -> np.ndarray:
 
 
 def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e-2, plain: int = PLAIN_SENTENCES) -> Field:
-    """Fit the field on labelled sentences (of those without a listed word about `plain`), and the curve on documents."""
+    """Fit the field on labelled sentences (of those without a listed word about `plain`, weighted), and the curve on documents."""
     field = Field(np.zeros(BUCKETS, np.float32), -2.0, np.zeros((2, 2)), np.array([-20.0, 0, 0]))
     if not len(sample.y) or not sample.y.any():
         return field
@@ -195,17 +196,20 @@ def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e
         return field
     # all sentences with a word that is toxic somewhere, and as many of others as make a sample
     total, rng = sum(map(len, sample.heads)), np.random.default_rng(5)
-    parts, labels, sizes = [], [], []
+    drawn = min(1.0, plain / total)
+    parts, labels, sizes, gains = [], [], [], []
     for k, (w, y) in enumerate(zip(sample.words, sample.y, strict=True)):
         if not len(w):
             continue
         ends = sample.ends(k)
         hot = np.logical_or.reduceat(listed[w[:, 0]], ends[:-1])
-        for i in np.flatnonzero(hot | (rng.random(len(hot)) < min(1.0, plain / total))):
+        for i in np.flatnonzero(hot | (rng.random(len(hot)) < drawn)):
             part = w[ends[i] : ends[i + 1]]
             parts.append(part)
             labels.append(toxic[part].any(1) & bool(y))
             sizes.append(len(part))
+            gains.append(1.0 if hot[i] else 1 / drawn)
+    gain, of_token = np.array(gains), np.repeat(gains, sizes)
     w, z, s = np.concatenate(parts), np.concatenate(labels).astype(float), np.append(0, np.cumsum(sizes))
     first = np.zeros(len(w), bool)
     first[s[:-1]] = True
@@ -213,13 +217,13 @@ def train(sample: Sample, steps: int = 120, rate: float = 0.1, ridge: float = 1e
     place = place.reshape(w.shape)
     seen = np.zeros((2, 2))
     inner = np.flatnonzero(~first)
-    np.add.at(seen, (z[inner - 1].astype(int), z[inner].astype(int)), 1)
+    np.add.at(seen, (z[inner - 1].astype(int), z[inner].astype(int)), of_token[inner])
     theta, m, v = np.zeros(len(used) + 5), np.zeros(len(used) + 5), np.zeros(len(used) + 5)
     theta[-5] = -2.0
     for t in range(1, steps + 1):
         field.weight[used], field.bias, field.transition = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        p, expected = field.expectations(w, s, moves=True)
-        diff = z - p
+        p, expected = field.expectations(w, s, gain)
+        diff = (z - p) * of_token
         grad = np.concatenate((np.bincount(place.ravel(), np.repeat(diff, TRAITS), len(used)), [diff.sum()], (seen - expected).ravel())) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

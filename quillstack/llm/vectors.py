@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -203,11 +204,11 @@ def spread_over(rows: np.ndarray, most: int) -> np.ndarray:
     return rows[np.linspace(0, len(rows) - 1, min(most, len(rows))).astype(int)]
 
 
-def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of every pair found with cosine >= similar in double precision. exact: the shard's unit vectors as doubles.
+def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: float, beam: int = BEAM, own_row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, row) of every pair found with cosine >= similar in double precision, links in the last audit and those it missed. exact: the shard's unit vectors as doubles.
 
     The audit takes queries evenly and, so that it has links to look for, as many of those that found some.
-    A beam of WIDEST reads the whole shard.
+    A beam of WIDEST reads the whole shard. own_row: the shard's row of each query, -1 where it has none; audits leave it out.
     """
     units = queries.astype(np.float32)
     slack = np.float32(similar - 1e-4)
@@ -232,6 +233,9 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: floa
             linked = np.array([q for q in range(len(queries)) if len(found[q])], int)
             audit = np.union1d(spread_over(np.arange(len(queries)), AUDITED), spread_over(linked, AUDITED))
             truth = np.concatenate([queries[audit[lo : lo + 32]] @ exact.T >= similar for lo in range(0, len(audit), 32)])
+            if own_row is not None:
+                at = np.flatnonzero(own_row[audit] >= 0)
+                truth[at, own_row[audit[at]]] = False
         # those whose beam ends among links go on anyway; the audit is of all others
         ended = [(np.flatnonzero(t), found[int(q)]) for q, t in zip(audit, truth, strict=True) if len(found[int(q)]) < width]
         if sum(np.isin(t, f).sum() for t, f in ended) < RECALL * sum(len(t) for t, _ in ended):
@@ -246,7 +250,26 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, similar: floa
     for lo in range(0, len(q), 100_000):
         part = slice(lo, lo + 100_000)
         keep[part] = np.einsum("ad,ad->a", queries[q[part]], exact[r[part]]) >= similar
-    return q[keep], r[keep]
+    sought = [(np.flatnonzero(t), found[int(k)]) for k, t in zip(audit, truth, strict=True)] if audit is not None else []
+    total = sum(len(t) for t, _ in sought)
+    return q[keep], r[keep], total, total - int(sum(np.isin(t, f).sum() for t, f in sought))
+
+
+@dataclass(frozen=True)
+class Audit:
+    """Links that audits of single searches looked for, over all blocks and shards, and those that were not found.
+
+    Of a link both ends are asked, so the share of links lost is below the share missed here.
+    """
+
+    links: int
+    missed: int
+    #: whether all rows were asked again of whole shards, after which nothing is missed
+    repeated: bool = False
+
+    @property
+    def recall(self) -> float:
+        return 1.0 if not self.links else 1 - self.missed / self.links
 
 
 def named(ids: np.ndarray) -> np.ndarray:
@@ -288,7 +311,12 @@ def _table(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector.
+    """vec_id, n_links, component_id, kept of every vector; see `audited`."""
+    return audited(vectors, similar, shard_rows)[0]
+
+
+def audited(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int = SHARD_ROWS, beam: int = BEAM, recall: float = RECALL) -> tuple[DataFrame, Audit]:
+    """vec_id, n_links, component_id, kept of every vector, and what the pooled audits found.
 
     n_links counts the other vectors linked directly (cosine >= similar), copies included;
     component_id is the smallest vec_id reachable by links, kept marks vec_id = component_id.
@@ -333,7 +361,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
     dealt.select("rep", "copies", "embedding", "size", "block").repartition("size", "block").write.partitionBy("size", "block").parquet(asked)
 
     def ask(asked: str, beam: int) -> DataFrame:
-        """(u, v, n, balance): links of every block to every shard; both are read from the shared folder by their names."""
+        """(u, v, n, balance): links of every block to every shard; both are read from the shared folder by their names. Without u: an audit's links and misses."""
 
         def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -348,7 +376,10 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
                         layer = Layer(units, 0)
                         layer.near = np.frombuffer(data, np.int32).reshape(len(units), -1)
                         layers.append(layer)
-                    q, r = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar, beam)
+                    by = np.argsort(shard_rep)
+                    at = by[np.minimum(np.searchsorted(shard_rep, rep, sorter=by), len(by) - 1)]
+                    own_row = np.where(shard_rep[at] == rep, at, -1)
+                    q, r, sought, missed = links_in(Graph(units, layers, np.frombuffer(own["top"], np.int32)), exact, queries, similar, beam, own_row)
                     other = rep[q] != shard_rep[r]
                     q, r = q[other], r[other]
                     row, n, balance = both_sides(rep, shard_rep, copies, q, r)
@@ -356,6 +387,8 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
                     none = np.zeros(len(u), np.int64)
                     end = pa.array(np.concatenate((np.zeros(len(row), np.int64), v)), mask=np.arange(len(row) + len(v)) < len(row))
                     yield pa.record_batch([pa.array(np.concatenate((row, u))), end, pa.array(np.concatenate((n, none))), pa.array(np.concatenate((balance, none)))], names=["u", "v", "n", "balance"])
+                    # the audit has no row
+                    yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([sought]), pa.array([missed])], names=["u", "v", "n", "balance"])
 
         blocks_asked = spark.read.parquet(asked).select(F.col("size").cast("int").alias("size"), F.col("block").cast("int").alias("block")).distinct()
         pairs = scratch.keep(dealt.select("size", "shard").distinct().join(blocks_asked, "size"), "pairs")
@@ -363,8 +396,14 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
         tasks = min(max(1, pairs.count()), MOST_TASKS)
         return scratch.keep(pairs.select("size", "shard", "block").repartition(tasks).mapInArrow(query, "u long, v long, n long, balance long"), "links")
 
-    got = ask(asked, BEAM) if total else spark.createDataFrame([], "u long, v long, n long, balance long")
-    sums = scratch.keep(got.where("v is null").groupBy("u").agg(F.sum("n").alias("n"), F.sum("balance").alias("balance")).withColumnRenamed("u", "rep"), "counts")
+    got = ask(asked, beam) if total else spark.createDataFrame([], "u long, v long, n long, balance long")
+    pooled = got.where("u is null").agg(F.sum("n").alias("n"), F.sum("balance").alias("missed")).first()
+    audit = Audit(pooled["n"] or 0, pooled["missed"] or 0)
+    if audit.recall < recall:
+        # each block's audit is small; together they tell what no block's own could
+        audit = Audit(audit.links, audit.missed, True)
+        got = ask(asked, WIDEST)
+    sums = scratch.keep(got.where("u is not null and v is null").groupBy("u").agg(F.sum("n").alias("n"), F.sum("balance").alias("balance")).withColumnRenamed("u", "rep"), "counts")
     counts = sums.where("balance = 0").select("rep", "n")
     doubted = sums.where("balance <> 0")
     n_doubted = doubted.count()
@@ -374,7 +413,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
         block = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("block")
         classes.join(doubted.select("rep"), "rep").select("rep", "copies", "embedding", "size", block).repartition("size", "block").write.partitionBy("size", "block").parquet(again)
         more = ask(again, WIDEST)
-        exact_counts = more.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
+        exact_counts = more.where("u is not null and v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
         counts = counts.unionByName(doubted.select("rep").join(exact_counts, "rep"))
         got = got.unionByName(more)
     links = got.where("v is not null").select("u", "v")
@@ -385,4 +424,5 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, shard_rows: int =
     labels = components(links.unionByName(tied), scratch).withColumnRenamed("node", "rep")
     told = scratch.keep(classes.select("rep", "copies").join(counts, "rep", "left").join(labels, "rep", "left").select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "told")
     out = member.drop("copies").join(told, "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(base.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("boolean").alias("kept")))
+    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(base.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("boolean").alias("kept")))
+    return out, audit

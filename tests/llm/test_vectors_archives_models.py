@@ -72,11 +72,23 @@ def test_graph_recall():
     x = np.repeat(centres, 40, 0) + 0.2 * rng.normal(size=(2400, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = vectors.Graph.build(x.astype(np.float32))
-    q, r = vectors.links_in(graph, x, x[::5], 0.9)
+    q, r, sought, missed = vectors.links_in(graph, x, x[::5], 0.9, own_row=np.arange(0, 2400, 5))
+    assert sought > 0 and missed <= 0.01 * sought
     truth = (x[::5] @ x.T >= 0.9).sum()
     assert len(q) >= 0.99 * truth and (np.einsum("ij,ij->i", x[::5][q], x[r]) >= 0.9).all()
 
 
+def test_recall_of_a_whole_shard():
+    """Groups of near vectors among unrelated ones, in a shard of SHARD_ROWS."""
+    rng = np.random.default_rng(1)
+    n = vectors.SHARD_ROWS
+    x = np.concatenate((np.repeat(rng.normal(size=(500, 64)), 20, 0) + 0.25 * rng.normal(size=(10_000, 64)), rng.normal(size=(n - 10_000, 64))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.concatenate((np.arange(0, 10_000, 20), np.arange(10_000, n, 80)))
+    q, _, sought, missed = vectors.links_in(vectors.Graph.build(x.astype(np.float32)), x, x[own], 0.9, own_row=own)
+    assert len(q) >= 0.998 * (x[own] @ x.T >= 0.9).sum() and sought > 1000 and missed <= 0.001 * sought
+
+
 def test_links_missed_from_one_end_are_told():
     """Balances of all blocks and shards are 0 but at both ends of a link that one end missed."""
     rep, copies = np.arange(100, 140), np.full(40, 2)
@@ -105,7 +117,8 @@ def test_whole_shards_when_the_beam_is_widest():
     x = np.random.default_rng(8).normal(size=(900, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = vectors.Graph.build(x.astype(np.float32))
-    q, r = vectors.links_in(graph, x, x[:50], 0.9, vectors.WIDEST)
+    q, r, _, missed = vectors.links_in(graph, x, x[:50], 0.9, vectors.WIDEST)
+    assert missed == 0
     assert set(zip(q.tolist(), r.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(x[:50] @ x.T >= 0.9))))
 
 
@@ -126,6 +139,21 @@ def test_links_at_the_threshold(spark):
     assert got.n_links.sort_index().tolist() == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
 
 
+def test_pooled_audits(spark):
+    """Audits of all blocks and shards add up; under the target all rows are asked again, and then nothing is missed."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(12, 8)), 25, 0) + 0.2 * rng.normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    got, audit = vectors.audited(rows)
+    assert 0 < audit.links <= sum(truth) and audit.recall >= vectors.RECALL and not audit.repeated
+    assert got.toPandas().set_index("vec_id").n_links.sort_index().tolist() == truth
+    got, audit = vectors.audited(rows, recall=1.01)
+    assert audit.repeated and got.toPandas().set_index("vec_id").n_links.sort_index().tolist() == truth
+    assert vectors.audited(rows.where("false"))[1] == vectors.Audit(0, 0)
+
+
 def test_archives_read_back_by_index(spark):
     rows = [(1, "http://a", "<p>" + "x" * 200), (2, "http://b", "<p>" + "x" * 200), (3, None, None), (4, "http://c\r\nX: y", "short"), (5, "u", "short"), (None, "n", "<p>" + "x" * 200), (1, "http://a", "<p>" + "x" * 200)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
@@ -222,10 +250,35 @@ def test_marginals_are_those_of_all_paths():
                 pair[x, y] += np.exp(s)
         want[a:b] = own / total
         moves += pair / total
-    got, expected = field.expectations(word, ends, moves=True)
+    got, expected = field.expectations(word, ends, np.ones(len(ends) - 1))
     assert np.allclose(got, want, atol=1e-5) and np.allclose(expected, moves, atol=1e-5)
 
 
+def test_thinned_sentences_keep_their_weight():
+    """A field fitted on a tenth of the plain sentences expects about as many toxic tokens as one fitted on all.
+
+    Words that no drawn sentence holds have no weight, which leaves about a tenth; without weights it is a quarter and more.
+    """
+    rng = np.random.default_rng(2)
+
+    def document(toxic):
+        w = np.repeat(rng.integers(100, 2000, (240, 1)), toxicity.TRAITS, 1)
+        at = rng.choice(240, 24, replace=False)
+        w[at] = rng.integers(1, 9, (24, 1)) if toxic else w[at]
+        # a toxic word's neighbour that other documents have too
+        w[::7] = 50
+        return w.astype(np.int32)
+
+    y = np.arange(60) % 3 == 0
+    sample = toxicity.Sample([document(t) for t in y], [np.arange(0, 240, 8, dtype=np.int32) for _ in y], y.astype(int))
+    whole, thin = (toxicity.train(sample, plain=n) for n in (10**9, 180))
+
+    def toxic_mass(field):
+        return sum(field.marginals(w, np.append(h, len(w))).sum() for w, h in zip(sample.words, sample.heads, strict=True))
+
+    assert abs(toxic_mass(thin) / toxic_mass(whole) - 1) < 0.15
+
+
 def test_models_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (None, "vile words here", None), (3, "a " * 50_000, 9.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
