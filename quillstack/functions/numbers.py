@@ -149,8 +149,10 @@ def _ordered_pairs(df: DataFrame, by: Sequence[str], highest: int) -> DataFrame:
     """by, right, pairs: pairs of rows of different grades, and how many stand in the order of the grades; ties count half.
 
     For each grade h the scores of rows of higher grade are counted against those of grade h that lie
-    below, by running sums over distinct scores: no pair is made.
+    below, by running sums over distinct scores: no pair is made. A grade outside 1 to highest is an error.
     """
+    wrong = F.raise_error(F.concat(F.lit(f"grades are 1 to {highest}, not "), F.col("grade").cast("string")))
+    df = df.withColumn("grade", F.when(F.col("grade").isNull() | F.col("grade").between(1, highest), F.col("grade")).otherwise(wrong.cast("int")))
     levels = F.explode(F.sequence(F.lit(1), F.least(F.col("grade"), F.lit(highest - 1)))).alias("level")
     rows = df.groupBy(*by, "grade", "score").agg(F.count("*").alias("n")).select(*by, "grade", "score", "n", levels)
     above = F.sum(F.when(F.col("grade") > F.col("level"), F.col("n")).otherwise(0))
@@ -167,11 +169,11 @@ def concordance(df: DataFrame, *by: str, highest: int = 5) -> DataFrame:
     """
     own = df.where("grade is not null and score is not null")
     if not by:
-        own, by = own.withColumn("__all", F.lit(1)), ("__all",)
+        own, by = own.withColumn("__everything", F.lit(1)), ("__everything",)
     every = _ordered_pairs(own, by, highest)
     inside = _ordered_pairs(own, [*by, "work"], highest).groupBy(*by).agg(F.sum("right").alias("r"), F.sum("pairs").alias("p"))
     both = every.join(inside, list(by), "left").na.fill({"r": 0.0, "p": 0})
-    return both.select(*by, ((F.col("right") - F.col("r")) / (F.col("pairs") - F.col("p"))).alias("concordance")).where("concordance is not null").drop("__all")
+    return both.select(*by, ((F.col("right") - F.col("r")) / (F.col("pairs") - F.col("p"))).alias("concordance")).where("concordance is not null").drop("__everything")
 
 
 def balanced_cutoff(df: DataFrame, p: str, bins: int = 10_000) -> DataFrame:

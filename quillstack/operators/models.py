@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -349,3 +350,18 @@ def nearest(df: DataFrame, key: str, vector: str, asked: DataFrame, k: int, digi
     found = df.select(key, vector).mapInPandas(task, "asked long, near long, cosine double")
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("cosine"), "near"))
     return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def commonest_of_others(df: DataFrame, context: Sequence[str], facet: str, out: str, told: Sequence[str] | None = None) -> DataFrame:
+    """df with `out`: the commonest value of a facet among other rows of the same context, null where there are none.
+
+    Rows are counted under the columns `told` (`context` if not given), which name what a row has, while `context` may hold
+    what was predicted of it. Ties go to the larger value; null facets count for nothing. Counts are joined as one row a
+    context, as wide as the facet has values; a row's own value is taken off by expression.
+    """
+    told = list(told or context)
+    counts = df.where(F.col(facet).isNotNull()).groupBy(*told, facet).agg(F.count("*").alias("__n"))
+    lists = counts.groupBy(*(F.col(t).alias(c) for t, c in zip(told, context, strict=True))).agg(F.collect_list(F.struct(F.col("__n").alias("n"), F.col(facet).alias("v"))).alias("__counts"))
+    same = reduce(lambda a, b: a & b, (F.col(t).eqNullSafe(F.col(c)) for t, c in zip(told, context, strict=True)))
+    best = F.array_max(F.transform("__counts", lambda x: F.struct((x["n"] - (same & x["v"].eqNullSafe(F.col(facet))).cast("long")).alias("n"), x["v"].alias("v"))))
+    return df.join(lists, list(context), "left").withColumn("__best", best).withColumn(out, F.when(F.col("__best.n") > 0, F.col("__best.v"))).drop("__counts", "__best")

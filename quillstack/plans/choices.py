@@ -255,7 +255,7 @@ def loose_pair(spark: SparkSession, d: str) -> DataFrame:
     return own.where("item_id = 7").crossJoin(F.broadcast(other)).select("item_id", F.col("oitem_id").alias("other"), (F.col("source") == F.col("osource")).alias("same_source"), F.round(words, 6).alias("words"), F.round(nm.size_ratio(F.col("size"), F.col("osize")), 6).alias("size"), F.round(nm.size_ratio(F.col("price"), F.col("oprice")), 6).alias("price"))
 
 
-@query(f"with {ITEMS}, a as (select l_partkey as item_id, list(distinct l_linenumber order by l_linenumber) as authors from lineitem where l_quantity >= 45 group by 1), c as (select min(item_id) as class_id, count(*) as n, lower(trim(title)) as t, authors from items join a using (item_id) group by 3, 4) select item_id, class_id, n from items join a using (item_id) join c on c.t = lower(trim(title)) and c.authors = a.authors where n > 1")
+@query(f"with {ITEMS}, a as (select l_partkey as item_id, list(distinct l_linenumber order by l_linenumber) as authors from lineitem group by 1), c as (select min(item_id) as class_id, count(*) as n, lower(trim(title)) as t, authors from items join a using (item_id) group by 3, 4) select item_id, class_id, n from items join a using (item_id) join c on c.t = lower(trim(title)) and c.authors = a.authors where n > 1")
 def whole_matches(spark: SparkSession, d: str) -> DataFrame:
     """Works of equal titles, but for case and ends, and equal sets of authors: the class each is in, not its pairs.
 
@@ -263,7 +263,7 @@ def whole_matches(spark: SparkSession, d: str) -> DataFrame:
     """
     c = Catalogue(spark, d)
     digest = F.conv(F.substring(F.md5(F.col("l_linenumber").cast("string")), 1, 10), 16, 10).cast("long")
-    a = c.table("lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("item_id"), "l_linenumber").distinct().groupBy("item_id").agg(F.struct(F.count("*"), F.min("l_linenumber"), F.max("l_linenumber"), F.sum(digest)).alias("authors"))
+    a = c.table("lineitem").select(F.col("l_partkey").alias("item_id"), "l_linenumber").distinct().groupBy("item_id").agg(F.struct(F.count("*"), F.min("l_linenumber"), F.max("l_linenumber"), F.sum(digest)).alias("authors"))
     own = c.items().select("item_id", F.lower(F.trim("title")).alias("t")).join(a, "item_id")
     classes = own.groupBy("t", "authors").agg(F.min("item_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     return own.join(classes, ["t", "authors"]).select("item_id", "class_id", "n")

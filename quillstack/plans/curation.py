@@ -164,18 +164,18 @@ def rocchio_shift(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("place").agg(F.round(F.sum(weight * F.col("x").cast("double")), 5).alias("x"))
 
 
-@query("with p as (select a.label as label, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as likeness from embeddings a, embeddings b where b.vec_id < 5 and a.vec_id <> b.vec_id group by 1) select label, round(likeness, 5) as likeness from p")
+@query("with p as (select a.label as label, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as likeness from embeddings a, embeddings b where b.vec_id % 50 = 0 and a.vec_id <> b.vec_id group by 1) select label, round(likeness, 5) as likeness from p")
 def similar_tags(spark: SparkSession, d: str) -> DataFrame:
     """The best cosine of each group to a few marks."""
     own = Catalogue(spark, d).vectors()
-    marks = own.where("vec_id < 5").select(F.col("vec_id").alias("mark"), F.col("embedding").alias("m"))
+    marks = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("mark"), F.col("embedding").alias("m"))
     best = own.join(F.broadcast(marks), F.col("vec_id") != F.col("mark")).groupBy("label").agg(F.max(nm.cosine(F.col("embedding"), F.col("m"))).alias("likeness"))
     return best.select("label", F.round("likeness", 5).alias("likeness"))
 
 
-@query("with m as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity < 3) select a as author, count(*) as works, min(b) as first from m group by 1 having count(*) >= 2")
+@query("with m as (select distinct l_suppkey as a, l_partkey as b from lineitem) select a as author, count(*) as works, min(b) as first from m group by 1 having count(*) >= 2")
 def named_authors(spark: SparkSession, d: str) -> DataFrame:
-    own = Catalogue(spark, d).table("lineitem").where("l_quantity < 3").select(F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("b")).distinct()
+    own = Catalogue(spark, d).table("lineitem").select(F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("b")).distinct()
     return own.groupBy("author").agg(F.count("*").alias("works"), F.min("b").alias("first")).where("works >= 2")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as nm, text as tx
-from ..operators import listing
+from ..operators import listing, models
 from ..sources.catalogue import Catalogue
 from .lists import ITEMS, RATINGS, ROWS, rows
 
@@ -212,12 +212,22 @@ def methods_compared(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "value").select("value", F.round("a", 6).alias("by_source"), F.round("b", 6).alias("by_all"), F.when(F.col("a") <= F.col("b"), "source").otherwise("all").alias("chosen"))
 
 
-@query(f"with {ITEMS} select item_id, case when item_id % 3 = 0 then type else case when size >= 40 then 'LARGE' when size >= 20 then 'MEDIUM' else 'SMALL' end end as first, case when item_id % 3 = 0 then type else case when size >= 40 then 'LARGE' when size >= 20 then 'MEDIUM' else 'SMALL' end end || '/' || words[1] as second from items")
+@query(f"""with {ITEMS}, i as (select item_id, source, type, case when size >= 40 then 'LARGE' when size >= 20 then 'MEDIUM' else 'SMALL' end as girth from items),
+n1 as (select source, type as v, count(*) as n from i group by 1, 2),
+g1 as (select item_id, v, n - (v = type)::int as n, row_number() over (partition by item_id order by n - (v = type)::int desc, v desc) as k from i join n1 using (source)),
+f as (select i.*, case when g1.n > 0 then v end as first from i join g1 using (item_id) where k = 1),
+n2 as (select source, type as first, girth as v, count(*) as n from i group by 1, 2, 3),
+g2 as (select item_id, v, n - (v = girth and f.first = type)::int as n, row_number() over (partition by item_id order by n - (v = girth and f.first = type)::int desc, v desc) as k from f join n2 using (source, first))
+select item_id, f.first, case when g2.n > 0 then v end as second from f left join (select * from g2 where k = 1) g2 using (item_id)""")
 def facet_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Facets one after another: what the first gives is context of the second."""
-    guess = F.when(F.col("size") >= 40, "LARGE").when(F.col("size") >= 20, "MEDIUM").otherwise("SMALL")
-    own = Catalogue(spark, d).items().withColumn("first", F.when(F.col("item_id") % 3 == 0, F.col("type")).otherwise(guess))
-    return own.select("item_id", "first", F.concat("first", F.lit("/"), F.col("words")[0]).alias("second"))
+    """Facets one after another, each the commonest among the site's other items: what the first gives is context of the second.
+
+    An item is left out of its own counts. Those of a context are one row of the facet's values.
+    """
+    girth = F.when(F.col("size") >= 40, "LARGE").when(F.col("size") >= 20, "MEDIUM").otherwise("SMALL")
+    own = Catalogue(spark, d).items().select("item_id", "source", "type", girth.alias("girth"))
+    first = models.commonest_of_others(own, ["source"], "type", "first")
+    return models.commonest_of_others(first, ["source", "first"], "girth", "second", ["source", "type"]).select("item_id", "first", "second")
 
 
 # --- pairs of works ---

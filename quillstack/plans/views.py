@@ -52,13 +52,13 @@ def sites_say(spark: SparkSession, d: str) -> DataFrame:
     return own.select("work", "source", said).select("work", "field", "source", "value").distinct()
 
 
-@query("with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), c as (select m.vec_id as mark, v.vec_id as paragraph, list_cosine_similarity(m.v, v.v) as c from v, v m where m.vec_id < 5 and v.vec_id >= 5 and v.vec_id % 7 <> 0) select mark, paragraph, round(c, 6) as closeness from (select *, row_number() over (partition by mark order by c desc, paragraph) as k from c) where k <= 3")
+@query("with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), c as (select m.vec_id as mark, v.vec_id as paragraph, list_cosine_similarity(m.v, v.v) as c from v, v m where m.vec_id % 50 = 0 and v.vec_id % 50 <> 0) select mark, paragraph, round(c, 6) as closeness from (select *, row_number() over (partition by mark order by c desc, paragraph) as k from c) where k <= 3")
 def closest_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest paragraphs of each of a few marks, answered ones left out."""
+    """The three nearest paragraphs of each mark (every fiftieth), marks left out."""
     from ..operators import models
 
     own = Catalogue(spark, d).vectors()
-    near = models.nearest(own.where("vec_id >= 5 and vec_id % 7 <> 0"), "vec_id", "embedding", own.where("vec_id < 5"), 3)
+    near = models.nearest(own.where("vec_id % 50 <> 0"), "vec_id", "embedding", own.where("vec_id % 50 = 0"), 3)
     return near.select(F.col("asked").alias("mark"), F.col("near").alias("paragraph"), F.round("cosine", 6).alias("closeness"))
 
 
@@ -213,10 +213,10 @@ def author_offers(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy(F.col("l_suppkey").alias("author")).agg(F.count("*").alias("works"))
 
 
-@query("with w as (select distinct l_orderkey as work, l_suppkey as author from lineitem where l_quantity >= 48), n as (select work, work + 1 as other from (select distinct work from w)), p as (select a.author as a, b.author as b from n join w a on a.work = n.work join w b on b.work = n.other where a.author not in (select author from w x where x.work = n.other) and b.author not in (select author from w x where x.work = n.work)) select least(a, b) as a, greatest(a, b) as b, count(*) as pairs from p where a <> b group by 1, 2".replace("where a.author not in (select author from w x where x.work = n.other) and b.author not in (select author from w x where x.work = n.work)", "where not exists (select 1 from w x where x.work = n.other and x.author = a.author) and not exists (select 1 from w x where x.work = n.work and x.author = b.author)"))
+@query("with w as (select distinct l_orderkey as work, l_suppkey as author from lineitem), n as (select work, work + 1 as other from (select distinct work from w)), p as (select a.author as a, b.author as b from n join w a on a.work = n.work join w b on b.work = n.other where a.author not in (select author from w x where x.work = n.other) and b.author not in (select author from w x where x.work = n.work)) select least(a, b) as a, greatest(a, b) as b, count(*) as pairs from p where a <> b group by 1, 2".replace("where a.author not in (select author from w x where x.work = n.other) and b.author not in (select author from w x where x.work = n.work)", "where not exists (select 1 from w x where x.work = n.other and x.author = a.author) and not exists (select 1 from w x where x.work = n.work and x.author = b.author)"))
 def authors_of_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Authors of the two works of each pair, without those that both works share, counted together."""
-    works = Catalogue(spark, d).table("lineitem").where("l_quantity >= 48").groupBy(F.col("l_orderkey").alias("work")).agg(F.collect_set("l_suppkey").alias("a"))
+    works = Catalogue(spark, d).table("lineitem").groupBy(F.col("l_orderkey").alias("work")).agg(F.collect_set("l_suppkey").alias("a"))
     both = works.join(works.select((F.col("work") - 1).alias("work"), F.col("a").alias("b")), "work")
     own = both.select(F.explode(F.array_except("a", "b")).alias("x"), F.array_except("b", "a").alias("b")).select("x", F.explode("b").alias("y"))
     return own.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("pairs"))
@@ -303,22 +303,21 @@ def job_progress(spark: SparkSession, d: str) -> DataFrame:
     return own.withColumn("share", F.round(F.col("done") / F.col("total"), 4))
 
 
-@query("with m as (select s_suppkey as gone, s_suppkey - s_suppkey % 4 as into_ from supplier), p as (select l_suppkey as a, l_partkey % 100 as b, l_returnflag as said, l_shipdate as at_, l_orderkey * 10 + l_linenumber as id from lineitem where l_quantity = 1), r as (select least(x.into_, y.into_) as a, greatest(x.into_, y.into_) as b, said, at_, id from p join m x on x.gone = a join m y on y.gone = b) select a, b, arg_max(said, epoch_us(at_)::hugeint * 10000000000 + id) as said from r where a <> b group by 1, 2")
+@query("with m as (select s_suppkey as gone, s_suppkey - s_suppkey % 4 as into_ from supplier), p as (select l_suppkey as a, l_partkey % 100 as b, l_returnflag as said, l_shipdate as at_, l_orderkey * 10 + l_linenumber as id from lineitem), r as (select least(x.into_, y.into_) as a, greatest(x.into_, y.into_) as b, said, at_, id from p join m x on x.gone = a join m y on y.gone = b) select a, b, arg_max(said, epoch_us(at_)::hugeint * 10000000000 + id) as said from r where a <> b group by 1, 2")
 def pair_words_moved(spark: SparkSession, d: str) -> DataFrame:
     """The user's words on pairs after merges: moved to what stands, the newest word of each pair kept, none on a pair of one."""
     c = Catalogue(spark, d)
     m = c.table("supplier").select(F.col("s_suppkey").alias("gone"), (F.col("s_suppkey") - F.col("s_suppkey") % 4).alias("into"))
-    p = c.table("lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), F.col("l_returnflag").alias("said"), F.struct(F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).alias("at"))
+    p = c.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), F.col("l_returnflag").alias("said"), F.struct(F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).alias("at"))
     moved = p.join(m.select(F.col("gone").alias("a"), F.col("into").alias("x")), "a").join(m.select(F.col("gone").alias("b"), F.col("into").alias("y")), "b").where("x <> y")
     return moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max_by("said", "at").alias("said"))
 
 
-@query("with u as (select n_nationkey as k from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal > 9990)) select k from u")
+@query("select l_partkey as item_id, l_suppkey as value from lineitem group by 1, 2 having count(*) filter (where l_returnflag <> 'R') = 0")
 def unused_values(spark: SparkSession, d: str) -> DataFrame:
-    """Values that no work has any more."""
-    c = Catalogue(spark, d)
-    used = c.table("customer").where("c_acctbal > 9990").select(F.col("c_nationkey").alias("k"))
-    return c.table("nation").select(F.col("n_nationkey").alias("k")).join(used, "k", "left_anti")
+    """Values of works that no source gives any more: every line that gave one was taken back."""
+    own = Catalogue(spark, d).table("lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("value"))
+    return own.agg(F.count_if(F.col("l_returnflag") != "R").alias("n")).where("n = 0").drop("n")
 
 
 @query("with f as (select c_custkey as item_id, c_mktsegment || case when c_custkey % 2 = 1 then '' else ' ' || c_nationkey end as name from customer), b2 as (select c_mktsegment || ' ' || c_nationkey as name, min(c_nationkey % 5) as universe from customer group by 1 having count(distinct c_nationkey % 5) = 1) select item_id, f.name, universe, universe is null as created from f left join b2 using (name)")

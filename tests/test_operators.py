@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from datetime import datetime
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quillstack.functions import text as tx
+from quillstack.functions import numbers, text as tx
 from quillstack.operators import graph, listing, models, overlay, writes
+from quillstack.sources import contracts
 
 
 def one(spark, column, **values):
@@ -99,3 +103,41 @@ def test_ridge_and_least_absolute():
     a, truth = rng.normal(size=(50, 3)), np.array([1.0, 2, 3])
     assert np.allclose(models.ridge_solve(a, a @ truth, 1e-9), truth, atol=1e-5)
     assert np.allclose(models.least_absolute(np.abs(a), np.abs(a) @ truth), truth, atol=1e-2)
+
+
+def test_commonest_of_others(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "xyz"[int(a)], None if b == 4 else "pqrs"[int(b)], "uvw"[int(c)]) for i, (a, b, c) in enumerate(rng.integers(0, (3, 5, 3), (40, 3)))] + [(99, "alone", "p", "u"), (98, None, "p", "u"), (97, None, "q", "w")]
+    df = spark.createDataFrame(rows, "id long, site string, kind string, girth string")
+
+    def others(own, key, facet, wanted):
+        seen = Counter(facet(r) for r in rows if r[0] != own[0] and key(r) == wanted and None not in wanted and facet(r) is not None)
+        return max(seen, key=lambda v: (seen[v], v)) if seen else None
+
+    got = models.commonest_of_others(models.commonest_of_others(df, ["site"], "kind", "first"), ["site", "first"], "girth", "second", ["site", "kind"])
+    for r in got.collect():
+        own = (r.id, r.site, r.kind, r.girth)
+        assert r.first == others(own, lambda x: (x[1],), lambda x: x[2], (r.site,))
+        assert r.second == others(own, lambda x: (x[1], x[2]), lambda x: x[3], (r.site, r.first))
+    assert got.count() == len(rows)
+
+
+def test_grades_outside_the_scale_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 1, 2, 0.5), (2, 2, 7, 0.9)], "item_id long, work long, grade int, score double")
+    with pytest.raises(Exception, match="grades are 1 to 5, not 7"):
+        numbers.concordance(rows).collect()
+    assert numbers.concordance(rows, highest=7).first().concordance == 1.0
+
+
+def test_registry_of_sources(spark):
+    one = contracts.memory_source("one", [(1, "a", datetime(2020, 1, 1)), (2, None, None)])
+    known = contracts.Registry()
+    known.add("source", "one", one)
+    known.add("source", "none", contracts.memory_source("none", []))
+    assert known.active("source") is one and [s.name for s in known.of("source")] == ["none", "one"]
+    known.use("source", "none")
+    assert known.active("source").name == "none"
+    assert sorted(r.item_id for r in known.items(spark, "").collect()) == [1, 2]
+    for wrong in (lambda: known.use("source", "two"), lambda: known.add("source", "one", one)):
+        with pytest.raises(ValueError):
+            wrong()
