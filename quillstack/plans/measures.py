@@ -100,10 +100,10 @@ def auc_rank_sum(spark: SparkSession, d: str) -> DataFrame:
     return nm.auc(own, "score", "good").select(F.round("auc", 6).alias("auc"))
 
 
-@query(f"""with {ROWS}, g as (select work % 5 as fold, work, grade, round(score, 2) as score from rows_ where grade is not null and score is not null)
+@query(f"""with {ROWS}, g as (select work % 5 as fold, work, grade, score from rows_ where grade is not null and score is not null)
 select a.fold, round(avg(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end), 6) as concordance from g a join g b on a.fold = b.fold and a.grade > b.grade and a.work <> b.work group by 1""")
 def concordance_by_fold(spark: SparkSession, d: str) -> DataFrame:
-    own = rows(spark, d).where("grade is not null and score is not null").select((F.col("work") % 5).alias("fold"), "work", "grade", F.round("score", 2).alias("score"))
+    own = rows(spark, d).where("grade is not null and score is not null").select((F.col("work") % 5).alias("fold"), "work", "grade", "score")
     return nm.concordance(own, "fold").select("fold", F.round("concordance", 6).alias("concordance"))
 
 

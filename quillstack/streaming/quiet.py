@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
+from . import folds
 from .changes import change_log
 
 
@@ -41,12 +42,6 @@ class QuietIndex:
         self.spark, self.scope, self.item, self.quiet = spark, scope, item, quiet
         self.root = f"{shared_folder(spark)}/quiet-{name}"
 
-    def _folders(self, below: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(f"{self.root}/{below}/{s.getPath().getName()}" for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(path) else []
-
     def _newest(self, rows: DataFrame) -> DataFrame:
         keys: Sequence[str] = [self.scope, self.item]
         best = rows.groupBy(*keys).agg(F.max_by(F.struct("changes", "value", "written"), "written").alias("d"))
@@ -54,21 +49,14 @@ class QuietIndex:
 
     def documents(self) -> DataFrame:
         """The index as it stands: scope, item, changes, value, written."""
-        folded, batches = self._folders("folded"), self._folders("batches")
-        if not folded and not batches:
+        rows = folds.read(self.spark, self.root)
+        if rows is None:
             return self.spark.createDataFrame([], f"{self.scope} string, {self.item} string, changes long, value double, written timestamp")
-        return self._newest(self.spark.read.parquet(*folded[-1:], *batches))
+        return self._newest(rows)
 
     def fold(self) -> None:
         """All batches and the fold before them as one; the older ones go once it is whole."""
-        old, batches = self._folders("folded"), self._folders("batches")
-        if len(batches) < 2:
-            return
-        self.documents().write.parquet(f"{self.root}/folded/{len(old):09d}")
-        jvm = self.spark.sparkContext._jvm
-        for folder in batches:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folds.fold(self.spark, self.root, self.documents)
 
     def catch_up(self, path: str) -> int:
         """Reads what is new in the log at path, writes what has become quiet, and returns how many sessions that were."""

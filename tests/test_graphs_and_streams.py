@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from quillstack import plans
 from quillstack.functions import numbers as nm, text as tx
 from quillstack.operators import graph
-from quillstack.streaming import changes
+from quillstack.session import shared_folder
+from quillstack.streaming import changes, folds
 
 
 def closed(spark, edges):
@@ -68,6 +70,42 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert second.value.to_dict() == newest.value.to_dict() and second.kind.to_dict() == newest.event_type.to_dict()
 
 
+def test_batches_are_folded(spark, tmp_path):
+    """Many runs leave one fold and one batch; a fold that broke off is written over."""
+    rows = pd.read_parquet(f"{DATA}/events.parquet")
+    whole = tmp_path / "events.parquet"
+    whole.mkdir()
+    name = f"folds-{tmp_path.name}"
+    root = f"{shared_folder(spark)}/changes-{name}"
+    for k in range(4):
+        rows[k * 100 : (k + 1) * 100].to_parquet(whole / f"{k}.parquet", coerce_timestamps="us")
+        if k == 2:
+            spark.range(3).write.parquet(f"{root}/folded/000000000")
+            broken = Path(root.removeprefix("file:")) / "folded/000000000/_SUCCESS"
+            broken.unlink()
+        got = changes.run_on(spark, str(tmp_path), changes.latest_state, name, ["user_id"]).toPandas()
+        newest = rows[: (k + 1) * 100].sort_values(["ts", "event_id"]).groupby("user_id").last()
+        assert got.set_index("user_id").value.to_dict() == newest.value.to_dict()
+    assert len(folds.whole(spark, f"{root}/folded")) == 1 and len(folds.whole(spark, f"{root}/batches")) <= 2
+
+
+def test_late_changes_no_longer_count(spark, tmp_path):
+    """With a bound on lateness an hour's state goes; without one a late change still counts."""
+    day = pd.Timestamp("2020-01-01")
+    whole = tmp_path / "events.parquet"
+    whole.mkdir()
+    parts = [[(1, 0), (1, 30), (1, 60 * 48)], [(1, 60 * 49)], [(1, 5), (1, 60 * 48 + 5)]]
+    told = {}
+    for late in (None, "2 hours"):
+        for k, part in enumerate(parts):
+            pd.DataFrame([(u, "x", day + pd.Timedelta(minutes=m), 0.0, m) for u, m in part], columns=["user_id", "event_type", "ts", "value", "event_id"]).to_parquet(whole / f"{k}.parquet", coerce_timestamps="us")
+            got = changes.run_on(spark, str(tmp_path), lambda e, late=late: changes.distinct_changes(e, late), f"late-{late}-{tmp_path.name}".replace(" ", ""), ["user_id", "kind", "hour"]).toPandas()
+        told[late] = sorted(got.told)
+        for k in range(len(parts)):
+            (whole / f"{k}.parquet").unlink()
+    assert told == {None: [1, 2, 3], "2 hours": [1, 2, 2]}
+
+
 @pytest.mark.parametrize(("text", "want"), [("1994 was the year of the long winter", ["1994 was the year of the long winter"]), ("- 3.5 million people came", ["3.5 million people came"]), ("* • > (so it was) indeed here", ["(so it was) indeed here"])])
 def test_phrases_keep_numbers(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(tx.phrases(F.col("t"))).first()[0] == want

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import mixed, quotes
 from quillstack.plans import passages
-from quillstack.streaming import quiet
+from quillstack.streaming import folds, quiet
 
 
 def plain_quotes(body, names):
@@ -98,7 +98,7 @@ def test_writing_after_quiet_with_two_bursts_and_a_restart(spark, tmp_path):
     assert index.catch_up(str(tmp_path)) == 2 and told(index) == [(1, "a", 3, 4.0), (1, "b", 1, 2.0), (2, "a", 2, 8.0)]
     log(3, [(4, "c", 7, 40, 0)])
     assert quiet.QuietIndex(spark, name, quiet="1 minute").catch_up(str(tmp_path)) == 1
-    assert len(index._folders("batches")) == len(index._folders("folded")) == 1 and told(index) == [(1, "a", 3, 4.0), (1, "b", 1, 2.0), (2, "a", 2, 8.0), (3, "c", 1, 7.0)]
+    assert len(folds.whole(spark, f"{index.root}/batches")) == len(folds.whole(spark, f"{index.root}/folded")) == 1 and told(index) == [(1, "a", 3, 4.0), (1, "b", 1, 2.0), (2, "a", 2, 8.0), (3, "c", 1, 7.0)]
 
 
 def test_no_scope_is_quiet_yet(spark, tmp_path):
