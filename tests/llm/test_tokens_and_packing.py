@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -94,6 +97,35 @@ def test_words_are_the_library_s(texts):
     assert [x.tolist() for x in own.encode(texts)] == want
 
 
+def test_parts_of_words_are_encoded_once(monkeypatch):
+    """Case, signs and digits beside a word make no new part of it."""
+    own, asked = packing.WordEncoder(WORDS), []
+    encode = own._encode_new
+    monkeypatch.setattr(own, "_encode_new", lambda words: asked.extend(words) or encode(words))
+    texts = ["Word, word. WORD! (word) word2 2word", "«été» été, «été»; don't Don't", "word, word", ""]
+    assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for x in asked if "word" in str(x)] == [b"word"] and len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("texts", [["A", "\u0301a"], ["J\u030c K", "J\u030c"], ["x's 'S \"'s ''s 's't 'steven"], ["\u0130a \u0130, \u00c9\u0323", "\u00c9T\u00c9"], ["<\u0338", "a <|end", "oftext|> b", "<|endoftext|>C"], ["a\x1cb\x85c\u00a0d"]])
+def test_cuts_and_edges_of_texts(texts):
+    """Letters before marks, quotes that begin words, letters that lower to more than one, special tokens, odd white space."""
+    own = packing.encoder(WORDS)
+    want = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    ids, end = own.encode_column(pa.array([b"cut off", *(t.encode() for t in texts)], pa.large_binary()).slice(1), 1)
+    assert [x.tolist() for x in np.split(ids, end[:-1])] == [[*x, 1] for x in want]
+
+
+def test_other_rules_are_left_to_the_tokenizer(tmp_path):
+    """A tokenizer that joins across white space gets its texts whole."""
+    rules = json.loads(Path(WORDS).read_text()) | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    own = packing.WordEncoder(str(tmp_path / "other.json"))
+    texts = ["In the, Word. the", "", "<|endoftext|> of"]
+    assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def check(rows, ids, capacity=2048):
     for doc, own in ids.items():
         part = rows[rows.doc_id == doc].sort_values("start")
