@@ -27,7 +27,7 @@ from .bpe import LONGEST, PairTable
 from .store import workers_find_package
 
 CAPACITY, LEAST, CLOSING = 2048, 64, 1
-CACHED_WORDS, PORTION = 400_000, 8 << 20
+CACHED_WORDS, PORTION = 400_000, 2 << 20
 SPACE, LETTER, DIGIT, SIGN, QUOTE, OTHER = range(6)
 #: The rules by which WordEncoder may cut.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
