@@ -58,5 +58,16 @@ def test_words_are_fitted_on_all_documents(spark, tmp_path):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_page_is_ordered_by_the_digits_it_shows(spark, tmp_path):
+    """All works show 2.0; what lies beyond the three digits rises with the key, and so does the date of the grade, by turns."""
+    n, day = 60, pd.Timestamp("2000-01-01")
+    parts = [(k, "red ring", "Brand#1", "SMALL", 10, 1000.0) for k in range(n)]
+    lines = [(k, k, 7, 10.0, day + pd.Timedelta(days=k % 4), 2_000_000.0 + 10 * k, "N") for k in range(n)]
+    pd.DataFrame(parts, columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame(lines, columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate", "l_extendedprice", "l_returnflag"]).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    got = plans.QUERIES["list_page_score"](spark, str(tmp_path)).toPandas()
+    assert got.item_id.tolist() == sorted(range(n), key=lambda k: (-(k % 4), k))[20:40] and set(got.total) == {n}
+
+
 def test_surveyed_steps():
     assert (learning.SHIFT_STEPS, learning.WEIGHT_STEPS) == (300, 2000)
