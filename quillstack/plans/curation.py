@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as nm, text as tx
-from ..operators import graph, listing, models
+from ..operators import graph, listing, marks, models
 from ..session import shared_folder
 from ..sources.catalogue import Catalogue
 from .lists import EDGES, ITEMS, RATINGS, ROWS, rows
@@ -167,10 +167,8 @@ def rocchio_shift(spark: SparkSession, d: str) -> DataFrame:
 @query("with p as (select a.label as label, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as likeness from embeddings a, embeddings b where b.vec_id % 50 = 0 and a.vec_id <> b.vec_id group by 1) select label, round(likeness, 5) as likeness from p")
 def similar_tags(spark: SparkSession, d: str) -> DataFrame:
     """The best cosine of each group to a few marks."""
-    own = Catalogue(spark, d).vectors()
-    marks = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("mark"), F.col("embedding").alias("m"))
-    best = own.join(F.broadcast(marks), F.col("vec_id") != F.col("mark")).groupBy("label").agg(F.max(nm.cosine(F.col("embedding"), F.col("m"))).alias("likeness"))
-    return best.select("label", F.round("likeness", 5).alias("likeness"))
+    own = Catalogue(spark, d).vectors().withColumnRenamed("embedding", "v")
+    return marks.best_by_label(own, own.where("vec_id % 50 = 0")).select("label", F.round("likeness", 5).alias("likeness"))
 
 
 @query("with m as (select distinct l_suppkey as a, l_partkey as b from lineitem) select a as author, count(*) as works, min(b) as first from m group by 1 having count(*) >= 2")
