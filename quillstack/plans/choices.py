@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numbers as nm
+from ..operators import marks
 from ..sources.catalogue import TYPES, Catalogue
 from .features import CHANCES, chances
 from .lists import ITEMS, ROWS, rows
@@ -191,10 +192,10 @@ def candidate_universes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {COMPONENTS}, n as (select count(*) as n from embeddings), c as (select distinct l_partkey as item_id, l_suppkey % n as vec_id from lineitem, n), m as (select item_id, k, avg(x) as x from c join v using (vec_id) group by 1, 2) select item_id, round(sqrt(sum(x * x)), 5) as length, round(max(case when k = 1 then x end), 5) as first from m group by 1")
 def name_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The mean vector of a work's cast, each name once."""
-    c, own = Catalogue(spark, d), _doubles(spark, d)
+    c = Catalogue(spark, d)
+    own = c.vectors().select("vec_id", F.col("embedding").alias("v"))
     cast = c.table("lineitem").crossJoin(F.broadcast(own.agg(F.count("*").alias("n")))).select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % F.col("n")).alias("vec_id")).distinct()
-    mean = _sums(cast.join(own, "vec_id"), "item_id").select("item_id", F.transform("total", lambda x: x / F.col("n")).alias("m"))
-    return mean.select("item_id", F.round(nm.norm(F.col("m")), 5).alias("length"), F.round(F.col("m")[0], 5).alias("first"))
+    return marks.means(cast, own).select("item_id", F.round("length", 5).alias("length"), F.round("first", 5).alias("first"))
 
 
 @query(f"with {ITEMS}, w as (select item_id, unnest(list_distinct(words)) as w from items), f as (select item_id, w as feature from w union all select a.item_id, a.w || ' + ' || b.w from w a join w b on a.item_id = b.item_id and a.w < b.w) select feature, count(*) as works, min(item_id) as first from f group by 1")
@@ -328,23 +329,10 @@ def drawn_triplets(own: DataFrame) -> DataFrame:
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """How often the nearest of a stated set of queries is of its universe, and the mean reciprocal place of the first that is.
 
-    Queries go to every task in blocks of 2,000; two passes keep one row a query: its best kin, and how many are nearer.
+    Queries go to every task in blocks; two passes keep one row a query: its best kin, and how many are nearer.
     """
-    own = _doubles(spark, d)
-    asked = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    blocks = max(1, -(-asked.count() // 2000))
-
-    def against(queries: DataFrame, fold) -> DataFrame:  # noqa: ANN001
-        out = None
-        for b in range(blocks):
-            part = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-            both = own.crossJoin(F.broadcast(part)).where("vec_id <> q").withColumn("c", F.round(nm.cosine(F.col("v"), F.col("qv")), 9))
-            got = fold(both)
-            out = got if out is None else out.unionByName(got)
-        return out
-
-    best = against(asked, lambda x: x.where("label = ql").groupBy("q").agg(F.max("c").alias("best")))
-    place = against(asked.join(best, "q"), lambda x: x.groupBy("q").agg((1 + F.count_if((F.col("label") != F.col("ql")) & (F.col("c") > F.col("best")))).alias("place")))
+    own = Catalogue(spark, d).vectors().withColumnRenamed("embedding", "v")
+    place = marks.kin_places(own, own.where("vec_id % 50 = 0"))
     return place.agg(F.count("*").alias("asked"), F.round(F.avg((F.col("place") == 1).cast("int")), 6).alias("first_hits"), F.round(F.avg(1 / F.col("place")), 6).alias("reciprocal"))
 
 
