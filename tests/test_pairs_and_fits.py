@@ -43,6 +43,20 @@ def test_descent_keeps_to_what_may_be_neighbours(spark):
     assert neighbours.descend(rows.limit(0), "id", score, seeds.limit(0)).edges.count() == 0
 
 
+def test_vectors_of_many_directions_have_all_their_nearest(spark, tmp_path):
+    """Vectors without any order among them: a descent finds some of the nearest only. Among them copies, and vectors that take no part."""
+    x = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    x[5] = x[6] = x[7]
+    odd = [None, [0.0] * 64, [1.0, 2.0]]
+    pd.DataFrame({"vec_id": range(3003), "embedding": [*(v.tolist() for v in x), *odd], "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    got = pairs.vector_graph(spark, str(tmp_path)).toPandas().sort_values(["vec_id", "place"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    np.fill_diagonal(c, -2)
+    want = np.argsort(-c, 1, kind="stable")[:, :10]
+    assert got.vec_id.tolist() == np.repeat(range(3000), 10).tolist() and (got.near.to_numpy().reshape(-1, 10) == want).all()
+
+
 def test_seeds_of_a_hot_block(spark):
     rows = spark.range(1000).select("id", F.lit("hot").alias("b"))
     got = neighbours.near_in_order(rows, "id", F.col("b"), [F.col("id")], reach=2, most=100).toPandas()
