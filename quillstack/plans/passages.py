@@ -54,11 +54,8 @@ def paragraph_vectors(spark: SparkSession, d: str) -> DataFrame:
     """(key, paragraph, body, v) of paragraphs of some length: hashed trigrams to length one."""
     docs = Catalogue(spark, d).documents().where("doc_id is not null")
     line = docs.select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "body")).where(F.length("body") >= LEAST_LETTERS)
-    line = learnt.kept(line.select("key", (F.col("at") + 1).alias("paragraph"), "body"), "paragraphs")
-    n = line.select("key", "paragraph", F.explode(tx.hashed_trigrams(F.col("body"), PLACES_OF_TRIGRAMS)).alias("k")).groupBy("key", "paragraph", "k").agg(F.count("*").cast("double").alias("n"))
-    n = n.groupBy("key", "paragraph").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(PLACES_OF_TRIGRAMS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-    both = learnt.kept(line.join(n.select("key", "paragraph", v.alias("v")), ["key", "paragraph"]), "paragraph-counts")
+    line = line.select("key", (F.col("at") + 1).alias("paragraph"), "body", F.col("body").alias("letters"))
+    both = learnt.kept(tx.trigram_counts(line, "letters", PLACES_OF_TRIGRAMS), "paragraph-counts")
     return both.withColumn("v", nm.unit(F.col("v")))
 
 
