@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import mixed, quotes
+from quillstack.operators import mixed, quotes, service, stored
 from quillstack.plans import passages
 from quillstack.streaming import folds, quiet
 
@@ -126,3 +126,25 @@ def test_service_orders_candidates_of_both_parts(spark, weights):
     got = own.search(lines.join(search.hashed(lines, "asked", "line"), "asked")).toPandas().sort_values(["asked", "place"])
     assert got[got.asked == 900].key.head(3).tolist() == [1, 8, 15] and got[got.asked == 901].key.head(3).tolist() == [4, 11, 18]
     assert (got.groupby("asked").score.diff().fillna(0) <= 1e-8).all() and not got.duplicated(["asked", "key"]).any()
+
+
+def test_words_of_lines_without_a_row_a_pair(spark):
+    """The best documents by words against every pair; equal ones by key."""
+    rng = np.random.default_rng(8)
+    docs = [(k, " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(1, 8)) if x < 60)) for k in range(900)] + [(900, None), (901, "alone")]
+    index = stored.StoredIndex.build(spark.createDataFrame(docs, "key long, title string"), "key", ["title"], {"all": F.lit("x")})
+    vectors = spark.createDataFrame([(k, [1.0]) for k, _ in docs], "key long, v array<double>")
+    lines = [(5000 + k, docs[7 * k][1]) for k in range(100)] + [(6000, "nothing here"), (6001, "alone W1 w1")]
+    opened = service.Service(index, vectors, "title").opened()
+    got = opened.by_words(spark.createDataFrame(lines, "asked long, line string")).toPandas().sort_values(["asked", "words", "key"], ascending=[True, False, True])
+    sets = {k: set(t.split()) for k, t in docs if t}
+    x = {w: np.log1p(len(docs) / sum(w in s for s in sets.values())) for s in sets.values() for w in s}
+    for asked, line in lines:
+        own = sorted({w for w in line.lower().split() if w in x})
+        all_ = sum(x[w] for w in own)
+        want = sorted(((-sum(x[w] for w in own if w in s) / all_, k) for k, s in sets.items() if s & set(own)))[:30] if own else []
+        mine = got[got.asked == asked]
+        assert mine.key.tolist() == [k for _, k in want] and np.allclose(mine.words, [-s for s, _ in want])
+    # before, lines and documents met in a join by word
+    plan = opened.by_words(spark.createDataFrame(lines, "asked long, line string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
